@@ -53,27 +53,68 @@ def fingerprints(docs: DataFrame, text_col: str, out: str, shingle: int = 3) ->
     return docs.select(*others, text_col).mapInArrow(hashed, ", ".join([*fields, f"`{out}` bigint"]))
 
 
+def _bucket_scan(max_bucket: int):
+    """Reads rows sorted by bucket: verified pairs of small buckets, and the fingerprints of larger ones (``b`` null)."""
+
+    def scan(batches):
+        carried, large = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
+
+        def found(key, fp, hot_key):
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(head, len(key)))
+            hot = np.repeat((size > max_bucket) | (key[head] == hot_key if hot_key is not None else False), size) if len(key) else np.zeros(0, bool)
+            some = np.repeat(size > 1, size) & ~hot if len(key) else hot
+            k, f = key[some], fp[some]
+            near = []
+            for d in range(1, max_bucket):
+                if len(k) <= d:
+                    break
+                at = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:].view(np.uint64) ^ f[:-d].view(np.uint64)) <= 2))
+                near.append((f[at], f[at + d]))
+            a = np.concatenate([x for x, _ in near] or [k[:0]])
+            b = np.concatenate([y for _, y in near] or [k[:0]])
+            big = np.unique(fp[hot])
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([low, big])), pa.concat_arrays([pa.array(high), pa.nulls(len(big), pa.int64())])], ["a", "b"])
+
+        for batch in batches:
+            key, fp = (np.concatenate([c, batch.column(i).to_numpy()]) for i, c in enumerate(carried))
+            if not len(key):
+                continue
+            # the last bucket may go on in the next batch; one too large already needn't be kept
+            last = int(np.searchsorted(key, key[-1]))
+            if len(key) - last > max_bucket or key[-1] == large:
+                yield found(key, fp, large)
+                large, carried = key[-1], (key[:0], fp[:0])
+            else:
+                yield found(key[:last], fp[:last], large)
+                large, carried = None, (key[last:], fp[last:])
+        yield found(*carried, large)
+
+    return scan
+
+
 def links(points: DataFrame, max_bucket: int = 32) -> DataFrame:
-    """Edges ``a < b`` over distinct 64-bit ``fp`` that connect exactly the fingerprints within two bits."""
+    """Edges ``a < b`` over distinct 64-bit ``fp`` that connect exactly the fingerprints within two bits.
+
+    The index is shuffled once, 16 bytes a variant, and scanned in bucket order with at most one small bucket in memory.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = F.lit(1).cast("long")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     variants = lambda part, first: F.transform(
-        F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((i + first).alias("wild"), part.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, i))).alias("rest"))
+        F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")),
+        lambda i: F.call_function("shiftleft", i + first, F.lit(32)).bitwiseOR(part.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, i.cast("int"))))),
     )
-    variant = F.explode(F.concat(variants(low, 0), variants(high, 32)))
-    indexed = points.select("fp", variant.alias("v")).select("fp", "v.wild", "v.rest")
-    # a bucket is gathered only up to its cap; what is beyond is linked exactly below
-    sized = indexed.groupBy("wild", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("first"))
-    shared = written(sized.where("n > 1"), "buckets")
-    small = indexed.join(shared.where(F.col("n") <= max_bucket).select("wild", "rest"), ["wild", "rest"])
-    pairs = small.alias("x").join(small.select(F.col("fp").alias("b"), "wild", "rest"), ["wild", "rest"])
-    near = pairs.where((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= 2)).select(F.col("fp").alias("a"), "b")
-    hot = indexed.join(shared.where(F.col("n") > max_bucket).select("wild", "rest"), ["wild", "rest"]).select("fp").distinct()
+    indexed = points.repartition(parts, "fp").select(F.explode(F.concat(variants(low, 0), variants(high, 32))).alias("bucket"), "fp")
+    spread = indexed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = written(spread.mapInArrow(_bucket_scan(max_bucket), "a long, b long").distinct(), "buckets")
+    hot = found.where("b is null").select(F.col("a").alias("fp"))
     ball = F.explode(F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i)))))
-    around = hot.select("fp", ball.alias("point"))
+    around = hot.repartition(parts, "fp").select("fp", ball.alias("point"))
     centre = around.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
     starred = around.join(centre, "point").where("fp > a").select("a", F.col("fp").alias("b"))
-    return near.unionByName(starred).distinct()
+    return found.where("b is not null").unionByName(starred).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -6,9 +6,10 @@ and a remainder that is cut greedily at the largest ``capacity // k`` that fits
 class ``k`` takes exactly ``k`` equal pieces and wastes under ``k`` tokens. What is left once it has at most
 ``capacity // 32`` tokens stays in one piece, in the class of its own length.
 
-A piece's bin follows from its rank in its class alone: ranks are the worker's own count plus an offset summed over
-earlier workers, so filling needs no ordering of documents and no shuffle of token ids. The pieces that don't fill a last
-bin (fewer than the sum of all ``k``, a constant whatever the corpus) are laid end to end and cut at capacity.
+Every worker fills bins by itself, holding only the open bin of each class, so token ids are not shuffled. The pieces of
+a worker's last open bins (fewer than a constant) are ranked within their class over all workers and fill
+bins in the same way; of these, the pieces that don't fill a last bin (again fewer than a constant, whatever the corpus)
+are laid end to end and cut at capacity.
 """
 
 from __future__ import annotations
@@ -36,36 +37,49 @@ def cuts(n: int, capacity: int) -> list[int]:
     return out + [rest] * (rest > 0)
 
 
+def _bin_id(length: int, worker: int, bin: int) -> int:
+    """Ids of bins that a worker filled: above all others, distinct by class, worker and count."""
+    return 1 << 62 | length << 50 | worker << 26 | bin
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str | None, end_id: int) -> DataFrame:
-    """All pieces with their ids (little-endian unsigned 32-bit), worker and rank within (worker, length)."""
+    """All pieces with their ids (little-endian unsigned 32-bit) and bin; pieces of bins left open have none, but a rank."""
 
     def cut(batches):
         path = vocabulary or default_vocabulary()
-        worker, ranks = TaskContext.get().partitionId(), {}
+        worker, filled, open_bins = TaskContext.get().partitionId(), {}, {}
+
+        def batch_of(rows):
+            columns = list(zip(*rows, strict=True))
+            kinds = [id_arrow, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(lo, 256), {k: [] for k in ("at", "start", "length", "ids", "doc_tokens", "rank")}
-                for at, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.append(encode(text or "", path), np.array([end_id], "<u4"))
-                    start = 0
-                    for n in cuts(len(ids), capacity):
-                        rows["at"].append(at)
-                        rows["start"].append(start)
-                        rows["length"].append(n)
-                        rows["ids"].append(ids[start : start + n].tobytes())
-                        rows["doc_tokens"].append(len(ids))
-                        rows["rank"].append(ranks.get(n, 0))
-                        ranks[n] = ranks.get(n, 0) + 1
-                        start += n
-                long = pa.int64()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows["at"], long)), *(pa.array(rows[k], long) for k in ("start", "length")), pa.array(rows["ids"], pa.binary()),
-                     pa.array(rows["doc_tokens"], long), pa.array([worker] * len(rows["at"]), long), pa.array(rows["rank"], long)],
-                    ["id", "start", "length", "ids", "doc_tokens", "worker", "rank"],
-                )
+            id_arrow = batch.schema.field(0).type
+            done: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.append(encode(text or "", path), np.array([end_id], "<u4"))
+                start = 0
+                for n in cuts(len(ids), capacity):
+                    own = open_bins.setdefault(n, [])
+                    own.append((key, start, n, ids[start : start + n].tobytes(), len(ids)))
+                    start += n
+                    if len(own) == capacity // n:
+                        number = filled.get(n, 0)
+                        filled[n] = number + 1
+                        done += [(*row, worker, at, _bin_id(n, worker, number), at * n) for at, row in enumerate(open_bins.pop(n))]
+                if len(done) > 4096:
+                    yield batch_of(done)
+                    done = []
+            if done:
+                yield batch_of(done)
+        for own in open_bins.values():
+            yield batch_of([(*row, worker, at, None, None) for at, row in enumerate(own)])
 
+    names = ["id", "start", "length", "ids", "doc_tokens", "worker", "rank", "sequence_id", "offset"]
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(cut, f"id {id_type}, start long, length long, ids binary, doc_tokens long, worker long, rank long")
+    fields = f"id {id_type}, start long, length long, ids binary, doc_tokens long, worker long, rank long, sequence_id long, offset long"
+    return docs.select(id_col, text_col).mapInArrow(cut, fields)
 
 
 def pack(
@@ -78,12 +92,14 @@ def pack(
     An empty table gives no rows. Other columns are not read.
     """
     cut = written(pieces(docs, id_col, text_col, capacity, vocabulary, end_id), "pieces")
-    counts = cut.groupBy("length", "worker").agg(F.count("*").alias("n"))
+    own = cut.where("sequence_id is not null").select(F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    loose = cut.where("sequence_id is null").drop("sequence_id", "offset")
+    counts = loose.groupBy("length", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("length")
     bases = counts.select("length", "worker", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("total"))
     k = F.expr(f"{capacity} DIV length")
-    at = cut.join(bases, ["length", "worker"]).withColumn("at", F.col("base") + F.col("rank"))
+    at = loose.join(bases, ["length", "worker"]).withColumn("at", F.col("base") + F.col("rank"))
     full = F.expr(f"at < total - total % ({capacity} DIV length)")
     filled = at.where(full).select(
         F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens",
@@ -101,4 +117,4 @@ def pack(
         F.substring(F.col("ids"), ((lo - F.col("begin")) * 4 + 1).cast("int"), ((hi - lo) * 4).cast("int")).alias("ids"),
         "doc_tokens", F.col("bin").alias("sequence_id"), (lo - F.col("bin") * capacity).alias("offset"),
     )
-    return filled.unionByName(left)
+    return own.unionByName(filled).unionByName(left)

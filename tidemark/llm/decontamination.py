@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages of half a window. Their TF-IDF matrix (hashed terms, document frequencies over all passages)
-gets a distributed randomised SVD: every task multiplies its rows by one Gaussian test matrix and back, the partial
-sketches ``A'AG`` are added up by row segments, and a Nystrom step on the driver gives right singular vectors and values.
-Windows of two neighbouring passages are folded into the latent space, whitened, and compared by cosine with every
-benchmark item, in blocks. Candidates are then checked on words: the longest common subsequence with the item,
-and for paraphrases also whether the item's answer stands in the same place.
+Texts are cut into short passages. Their TF-IDF matrix A (hashed terms, passage frequencies over the whole corpus, very
+frequent terms that mark no item left out) gets a distributed randomised SVD: every task multiplies its rows by one sparse
+random test matrix G and back, the partial sketches ``A'AG`` are added up by row segments, and a Nystrom step on the
+driver gives right singular vectors and values. Windows of an item's length, made of whole passages, are folded into the
+latent space, whitened, and compared by cosine with every benchmark item, in blocks. Candidates are then checked on words:
+the longest common subsequence with the item, and for paraphrases also whether the item's answer stands in the same place.
 
 Sizes on the driver and in broadcasts are fixed by ``2**TERM_BITS`` terms and the rank, or by a block of items, never by the
 corpus. No document text and no pair list is shuffled or collected.
@@ -28,6 +28,13 @@ TERMS = 1 << TERM_BITS
 _SEGMENTS = 64
 
 
+@dataclass
+class Item:
+    key: object
+    words: list[int]
+    answer: list[int]
+
+
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the words (letters and digits, A-Z lower-cased) and each row's first word."""
     data = ASCII_LOWER[data]
@@ -100,39 +107,83 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, step: int) -> DataFrame
 
 
 def _summed(table: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(table[ids & (TERMS - 1)], begin, axis=0)
+    """Sum of the table's rows of each passage's terms; terms of an all-zero first column don't occur in it."""
+    terms = ids & (TERMS - 1)
+    used = table[:, 0] != 0
+    keep = used[terms]
+    at = np.concatenate([[0], np.cumsum(keep)])
+    head = at[begin]
+    some = np.diff(np.append(head, at[-1])) > 0
+    out = np.zeros((len(begin), table.shape[1]), np.float32)
+    if some.any():
+        out[some] = np.add.reduceat(table[terms[keep]], head[some], axis=0)
+    return out
 
 
-def latent_terms(rows: DataFrame, step: int, rank: int, spare: int = 8, seed: int = 4) -> np.ndarray:
-    """Whitened latent vector of every term: ``idf * V / sigma``, from the randomised SVD of all passages."""
-    spark = rows.sparkSession
+def _test_matrix(width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse random test matrix: each term's column and sign."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, width, TERMS), rng.choice([-1.0, 1.0], TERMS)
+
+
+def term_weights(rows: DataFrame, items: list[Item], frequent: float) -> tuple[np.ndarray, int]:
+    """idf of every term, 0 for terms to leave out, and the number of passages.
+
+    Left out are terms of over ``frequent`` of all passages that mark no item (in none, or in over 2 % of the items):
+    an item's own words count however often its text is found. An item of such terms alone keeps them.
+    """
     frequency = _added(rows.where("part is not null").select("segment", "part"), (TERMS,))
     n = rows.agg(F.sum("n")).first()[0] or 0
-    idf = np.log((1 + n) / (1 + frequency)).astype(np.float32)
-    test = np.random.default_rng(seed).standard_normal((TERMS, rank + spare)).astype(np.float32)
+    held = np.zeros(TERMS, int)
+    for item in items:
+        held[np.unique(np.array(item.words) & (TERMS - 1))] += 1
+    out = (frequency > frequent * n) & ((held == 0) | (held > max(2, 0.02 * len(items))))
+    for item in items:
+        terms = np.array(item.words) & (TERMS - 1)
+        if out[terms].mean() > 0.8:
+            out[terms] = False
+    idf = np.log((1 + n) / (1 + frequency)) + 1e-3
+    return np.where(out, 0, idf).astype(np.float32), n
+
+
+def latent_terms(rows: DataFrame, idf: np.ndarray, n: int, step: int, rank: int, spare: int = 8, seed: int = 4) -> np.ndarray:
+    """Whitened latent vector of every term: ``idf * V / sigma``, from the randomised SVD of all passages."""
+    spark, width = rows.sparkSession, rank + spare
     sent = spark.sparkContext.broadcast(idf)
 
     def sketch(batches):
-        weights = sent.value[:, None]
-        projected = weights * np.random.default_rng(seed).standard_normal((TERMS, rank + spare)).astype(np.float32)
-        out = np.zeros((TERMS, rank + spare), np.float32)
+        weights = sent.value
+        column, sign = _test_matrix(width, seed)
+        signed = sign * weights
+        out = np.zeros((TERMS, width), np.float32)
         for batch in batches:
             for ids, first, _ in _runs(batch.column(0)):
                 begin, _ = _passages(first, step)
                 if not len(begin):
                     continue
-                y = _summed(projected, ids, begin)
                 passage = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(ids))))
                 terms = (ids & (TERMS - 1)).astype(np.uint16)
+                keep = weights[terms] > 0
+                terms, passage = terms[keep], passage[keep]
+                y = np.bincount(passage * width + column[terms], weights=signed[terms], minlength=len(begin) * width).astype(np.float32).reshape(-1, width)
                 order = np.argsort(terms, kind="stable")
-                head = np.flatnonzero(np.concatenate([[True], terms[order][1:] != terms[order][:-1]]))
-                out[terms[order][head]] += np.add.reduceat(y[passage[order]], head, axis=0)
-        yield from _segments(out * weights)
-
-    z = _added(rows.where("words is not null").select("words").mapInArrow(sketch, "segment int, part binary"), test.shape)
+                terms = terms[order]
+                if len(terms):
+                    head = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+                    out[terms[head]] += np.add.reduceat(y[passage[order]], head, axis=0)
+        yield from _segments(out * weights[:, None])
+
+    words = rows.where("words is not null").select("words")
+    # a task's sketch has one size: few tasks with much text each, rather than one for every small file
+    size = words.agg(F.sum(F.length("words"))).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, size >> 28)
+    test = np.zeros((TERMS, width))
+    column, sign = _test_matrix(width, seed)
+    test[np.arange(TERMS), column] = sign
+    z = _added(words.coalesce(tasks).mapInArrow(sketch, "segment int, part binary"), test.shape)
     if not z.any():
         return np.zeros((TERMS, rank), np.float32)
-    core = test.T.astype(float) @ z
+    core = test.T @ z
     core = (core + core.T) / 2
     values, vectors = np.linalg.eigh(core)
     good = values > values[-1] * 1e-9
@@ -140,6 +191,8 @@ def latent_terms(rows: DataFrame, step: int, rank: int, spare: int = 8, seed: in
     u, s = u[:, :rank], s[:rank]
     out = np.zeros((TERMS, rank), np.float32)
     out[:, : u.shape[1]] = idf[:, None] * u / np.maximum(s, s[0] * 1e-6) * np.sqrt(max(n, 1))
+    # a term in use must not look unused
+    out[(idf > 0) & (out[:, 0] == 0), 0] = 1e-12
     return out
 
 
@@ -166,13 +219,6 @@ def common_subsequence(item: list[int], words: list[int]) -> int:
     return len(item) - v.bit_count()
 
 
-@dataclass
-class Item:
-    key: object
-    words: list[int]
-    answer: list[int]
-
-
 def _items(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> list[Item]:
     out = []
     for row in benchmark.select(item_col, text_col, *([answer_col] if answer_col else [])).toLocalIterator():
@@ -202,7 +248,7 @@ def checked(item: Item, words: list[int]) -> tuple[float, float]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    rank: int = 48, min_cosine: float = 0.4, same: float = 0.8, paraphrase: float = 0.6, answered: float = 0.75, block: int = 2048,
+    rank: int = 48, min_cosine: float = 0.5, same: float = 0.8, paraphrase: float = 0.6, answered: float = 0.75, frequent: float = 0.002, block: int = 2048,
 ) -> DataFrame:
     """Contaminated pairs: ``id_col, item_col, cosine, lcs, answer, mark`` (``mark``: hash of the text).
 
@@ -212,9 +258,10 @@ def contaminated(
     """
     spark = docs.sparkSession
     items = _items(benchmark, item_col, item_text_col, answer_col)
-    step = max(4, int(np.median([len(i.words) for i in items])) // 2) if items else 16
+    # half the length of the shortest items: a window of whole passages then nearly fits any item
+    step = max(4, int(np.quantile([len(i.words) for i in items], 0.1)) // 2) if items else 16
     rows = encoded(docs, id_col, text_col, step)
-    vectors = latent_terms(rows, step, rank)
+    vectors = latent_terms(rows, *term_weights(rows, items, frequent), step, rank)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, cosine double, lcs double, answer double, mark long"
     terms = spark.sparkContext.broadcast(vectors)
@@ -241,37 +288,41 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
             member[k, ids] = True
         queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
         lengths = np.array([len(set(i.words)) for i in items])
-        longest = max((len(i.words) for i in items), default=0)
+        # passages in an item's window: its length, rounded up to an even number
+        scale = np.array([2 * max(1, -(-len(i.words) // (2 * step))) for i in items])
         for batch in batches:
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for ids, first, base in _runs(batch.column(0)) if items else ():
                 begin, bag = _passages(first, step)
                 if not len(begin):
                     continue
-                sums = _summed(table, ids, begin)
                 row = np.repeat(np.arange(len(bag) - 1), np.diff(bag))
-                # a window is a passage and the next one of its row, if any
-                paired = np.flatnonzero(row[1:] == row[:-1])
-                sums[paired] = sums[paired] + sums[paired + 1]
-                norms = np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-                for at in range(0, len(sums), 4096):
-                    cosine = (sums[at : at + 4096] / norms[at : at + 4096]) @ queries.T
-                    w, k = np.nonzero(cosine >= min_cosine)
-                    if not len(w):
-                        continue
-                    close = cosine[w, k]
-                    w = w + at
-                    # a cheap bound first: the item's words that stand within reach of the window
-                    lo = np.maximum(begin[w] - longest, first[row[w]])
-                    hi = np.minimum(begin[w] + 2 * step + longest, first[row[w] + 1])
+                left = bag[1:][row] - np.arange(len(row))
+                one = _summed(table, ids, begin)
+                two = one.copy()
+                more = np.flatnonzero(left > 1)
+                two[more] += one[more + 1]
+                sums, have = two.copy(), 2
+                for passages in np.unique(scale):
+                    while have < passages:
+                        more = np.flatnonzero(left > have)
+                        sums[more] += two[more + have]
+                        have += 2
+                    own = np.flatnonzero(scale == passages)
+                    least = min_cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", sums, sums)), 1e-12)
+                    w, k = np.nonzero(sums @ queries[own].T >= least[:, None])
+                    k = own[k]
+                    # a cheap bound first: the item's terms that stand within a passage of the window
+                    lo = np.maximum(begin[w] - step, first[row[w]])
+                    hi = np.minimum(begin[w] + (passages + 1) * step, first[row[w] + 1])
                     for c in _promising(ids, lo, hi, member, k, lengths, paraphrase):
                         item, r = items[k[c]], int(row[w[c]]) + base
-                        m = len(item.words)
-                        a = max(int(begin[w[c]]) - m, int(first[row[w[c]]]))
-                        z = min(int(begin[w[c]]) + 2 * step + m, int(first[row[w[c]] + 1]))
+                        reach = max(step, len(item.words) // 4)
+                        a = max(int(begin[w[c]]) - reach, int(first[row[w[c]]]))
+                        z = min(int(begin[w[c]]) + int(passages) * step + reach, int(first[row[w[c]] + 1]))
                         lcs, answer = checked(item, ids[a:z].tolist())
                         if (lcs >= same or lcs >= paraphrase and answer >= answered) and (lcs, answer) > best.get((r, int(k[c])), (0.0, 0.0))[:2]:
-                            best[r, int(k[c])] = (lcs, answer, float(close[c]))
+                            best[r, int(k[c])] = (lcs, answer, float(sums[w[c]] @ queries[k[c]] * min_cosine / least[w[c]]))
             at = pa.array([r for r, _ in best], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).take(at), pa.array([items[k].key for _, k in best], item_arrow), *(pa.array([v[i] for v in best.values()], pa.float64()) for i in (2, 0, 1)), batch.column(2).take(at)],

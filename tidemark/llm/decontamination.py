@@ -106,17 +106,17 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, step: int) -> DataFrame
     return written(rows.mapInArrow(encode, f"id {kind.simpleString()}, mark long, words binary, segment int, part binary, n long"), "words")
 
 
-def _summed(table: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows of each passage's terms; terms of an all-zero first column don't occur in it."""
-    terms = ids & (TERMS - 1)
-    used = table[:, 0] != 0
-    keep = used[terms]
-    at = np.concatenate([[0], np.cumsum(keep)])
-    head = at[begin]
-    some = np.diff(np.append(head, at[-1])) > 0
-    out = np.zeros((len(begin), table.shape[1]), np.float32)
-    if some.any():
-        out[some] = np.add.reduceat(table[terms[keep]], head[some], axis=0)
+def _summed(table: np.ndarray, ids: np.ndarray, begin: np.ndarray, step: int) -> np.ndarray:
+    """Sum of the table's rows of each passage's terms; the table has a last row of zeros."""
+    terms = np.append((ids & (TERMS - 1)).astype(np.int32), np.full(step, TERMS, np.int32))
+    end = np.append(begin[1:], len(ids))
+    out = table[terms[begin]]
+    for j in range(1, step):
+        at = np.flatnonzero(begin + j < end)
+        if len(at) == len(begin):
+            out += table[terms[begin + j]]
+        else:
+            out[at] += table[terms[begin[at] + j]]
     return out
 
 
@@ -147,7 +147,7 @@ def term_weights(rows: DataFrame, items: list[Item], frequent: float) -> tuple[n
 
 
 def latent_terms(rows: DataFrame, idf: np.ndarray, n: int, step: int, rank: int, spare: int = 8, seed: int = 4) -> np.ndarray:
-    """Whitened latent vector of every term: ``idf * V / sigma``, from the randomised SVD of all passages."""
+    """Whitened latent vector of every term, ``idf * V / sigma``, from the randomised SVD of all passages; a last row of zeros."""
     spark, width = rows.sparkSession, rank + spare
     sent = spark.sparkContext.broadcast(idf)
 
@@ -155,9 +155,9 @@ def latent_terms(rows: DataFrame, idf: np.ndarray, n: int, step: int, rank: int,
         weights = sent.value
         column, sign = _test_matrix(width, seed)
         signed = sign * weights
-        out = np.zeros((TERMS, width), np.float32)
+        out = np.zeros((width, TERMS))
         for batch in batches:
-            for ids, first, _ in _runs(batch.column(0)):
+            for ids, first, _ in _runs(batch.column(0), 1 << 21):
                 begin, _ = _passages(first, step)
                 if not len(begin):
                     continue
@@ -165,13 +165,10 @@ def latent_terms(rows: DataFrame, idf: np.ndarray, n: int, step: int, rank: int,
                 terms = (ids & (TERMS - 1)).astype(np.uint16)
                 keep = weights[terms] > 0
                 terms, passage = terms[keep], passage[keep]
-                y = np.bincount(passage * width + column[terms], weights=signed[terms], minlength=len(begin) * width).astype(np.float32).reshape(-1, width)
-                order = np.argsort(terms, kind="stable")
-                terms = terms[order]
-                if len(terms):
-                    head = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
-                    out[terms[head]] += np.add.reduceat(y[passage[order]], head, axis=0)
-        yield from _segments(out * weights[:, None])
+                y = np.bincount(passage + len(begin) * column[terms], weights=signed[terms], minlength=len(begin) * width).reshape(width, -1)
+                for k in range(width):
+                    out[k] += np.bincount(terms, weights=y[k][passage], minlength=TERMS)
+        yield from _segments((out * weights).T)
 
     words = rows.where("words is not null").select("words")
     # a task's sketch has one size: few tasks with much text each, rather than one for every small file
@@ -182,17 +179,15 @@ def latent_terms(rows: DataFrame, idf: np.ndarray, n: int, step: int, rank: int,
     test[np.arange(TERMS), column] = sign
     z = _added(words.coalesce(tasks).mapInArrow(sketch, "segment int, part binary"), test.shape)
     if not z.any():
-        return np.zeros((TERMS, rank), np.float32)
+        return np.zeros((TERMS + 1, rank), np.float32)
     core = test.T @ z
     core = (core + core.T) / 2
     values, vectors = np.linalg.eigh(core)
     good = values > values[-1] * 1e-9
     u, s, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     u, s = u[:, :rank], s[:rank]
-    out = np.zeros((TERMS, rank), np.float32)
-    out[:, : u.shape[1]] = idf[:, None] * u / np.maximum(s, s[0] * 1e-6) * np.sqrt(max(n, 1))
-    # a term in use must not look unused
-    out[(idf > 0) & (out[:, 0] == 0), 0] = 1e-12
+    out = np.zeros((TERMS + 1, rank), np.float32)
+    out[:TERMS, : u.shape[1]] = idf[:, None] * u / np.maximum(s, s[0] * 1e-6) * np.sqrt(max(n, 1))
     return out
 
 
@@ -298,7 +293,7 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
                     continue
                 row = np.repeat(np.arange(len(bag) - 1), np.diff(bag))
                 left = bag[1:][row] - np.arange(len(row))
-                one = _summed(table, ids, begin)
+                one = _summed(table, ids, begin, step)
                 two = one.copy()
                 more = np.flatnonzero(left > 1)
                 two[more] += one[more + 1]
@@ -310,7 +305,7 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
                         have += 2
                     own = np.flatnonzero(scale == passages)
                     least = min_cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", sums, sums)), 1e-12)
-                    w, k = np.nonzero(sums @ queries[own].T >= least[:, None])
+                    k, w = np.nonzero(queries[own] @ sums.T >= least)
                     k = own[k]
                     # a cheap bound first: the item's terms that stand within a passage of the window
                     lo = np.maximum(begin[w] - step, first[row[w]])
@@ -334,16 +329,18 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
 
 def _promising(ids, lo, hi, member, k, lengths, share):
     """Indices of candidates whose reach holds ``share`` of the item's distinct words, at least by term."""
+    terms = (ids & (TERMS - 1)).astype(np.int32)
+    width = int((hi - lo).max()) if len(lo) else 0
+    flat, wanted = member.reshape(-1), share * 0.9 * lengths
     for at in range(0, len(lo), 8192):
-        part = slice(at, at + 8192)
-        size = hi[part] - lo[part]
-        heads = np.concatenate([[0], np.cumsum(size)])
-        owner = np.repeat(np.arange(len(size)), size)
-        terms = ids[np.arange(heads[-1]) - heads[owner] + lo[part][owner]] & (TERMS - 1)
-        hit = member[k[part][owner], terms]
-        keys = np.unique(owner[hit] * TERMS + terms[hit])
-        enough = np.bincount(keys >> TERM_BITS, minlength=len(size)) >= share * 0.9 * lengths[k[part]]
-        yield from (np.flatnonzero(enough) + at).tolist()
+        l, h, item = lo[at : at + 8192], hi[at : at + 8192], k[at : at + 8192]
+        count = np.zeros(len(l), np.int16)
+        for j in range(width):
+            count += flat[terms[np.minimum(l + j, h - 1)] + item * TERMS] & (l + j < h)
+        # repeats count above, so this is a bound; the few that reach it are counted by distinct terms
+        for c in np.flatnonzero(count >= wanted[item]).tolist():
+            if member[item[c], np.unique(terms[l[c] : h[c]])].sum() >= wanted[item[c]]:
+                yield at + c
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,18 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """``order, label, text`` of at most ``max_rows`` labelled documents, those of the smallest id hashes.
+
+    The ids are chosen among the labels alone and broadcast (``max_rows`` bounds them), so no text is shuffled but the
+    sample's own. Of several labels of one id the largest counts, of several texts the smallest; null labels don't count.
+    """
+    marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("long").alias("label")).where("_id is not null")
+    chosen = marked.withColumn("order", F.xxhash64(F.col("_id").cast("string"))).orderBy("order", "_id").limit(max_rows)
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    return found.groupBy("_id", "order", "label").agg(F.min("text").alias("text")).select("order", "label", "text")
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null reads as empty."""
     col = pc.fill_null(col.cast(pa.large_string()), "")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import labelled_sample, slices, text_buffers
 from .tokens import mix, span_hashes, word_spans
 
 PASSAGE = 64
@@ -133,9 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Passages of these documents are encoded on the executors; only their statistics reach the driver.
     """
-    marked = labels.where(~held_out(id_col)).select(id_col, F.col(label_col).alias("_label")).where("_label is not null").dropDuplicates([id_col])
-    rows = docs.select(id_col, F.col(text_col).alias("_text")).join(marked, id_col).withColumn("_order", F.xxhash64(F.col(id_col).cast("string")))
-    sample = rows.orderBy("_order", id_col, "_text").limit(max_rows).select("_order", "_label", "_text")
+    sample = labelled_sample(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col, max_rows)
 
     def encoded(batches):
         for batch in batches:
@@ -143,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for lo, hi in slices(offsets):
                 x, bag = passages(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 raw = [x[bag[i] : bag[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).cast(pa.int64()), pa.array(raw, pa.binary())], ["o", "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(raw, pa.binary())], ["o", "y", "x"])
 
     got = sorted(map(tuple, sample.mapInArrow(encoded, "o long, y long, x binary").collect()))
     bags = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in got]

@@ -33,10 +33,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("load", token_rollup.inserts(counts))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     rollup.commit("delete-toxic", token_rollup.deletes(counts.join(toxic, "doc_id", "left_semi")))
-    poor = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
-    unique_lines = F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n")
-    revised = token_rollup.measured(docs.join(poor, "doc_id", "left_semi").withColumn("text", unique_lines))
-    rollup.commit("revise-poor", token_rollup.revisions(counts.join(poor, "doc_id", "left_semi"), revised))
+    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    # a text without repeated lines keeps its counts: only changed texts are counted again, before ids are joined
+    unique_lines = docs.withColumn("unique_text", F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n")).where("unique_text <> text")
+    revised = written(token_rollup.measured(unique_lines, text_col="unique_text"), "revised-counts").join(poor, "doc_id", "left_semi")
+    rollup.commit("revise-poor", token_rollup.revisions(counts.join(revised.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi"), revised))
     return rollup.totals()
 
 

@@ -154,8 +154,9 @@ def dangling(junction: DataFrame, man: DataFrame) -> DataFrame:
 
 def dedup_ratio(junction: DataFrame, before: DataFrame) -> DataFrame:
     """``referenced, written``: positions of a batch, and its distinct hashes that the pool ``before`` lacks."""
-    fresh = junction.select("hash").distinct().join(before.select("hash"), "hash", "left_anti").agg(F.count("*").alias("written"))
-    return junction.agg(F.count("*").alias("referenced")).crossJoin(F.broadcast(fresh))
+    known = before.select("hash").distinct().withColumn("_known", F.lit(True))
+    per = junction.groupBy("hash").agg(F.count("*").alias("_n")).join(known, "hash", "left")
+    return per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("referenced"), F.count_if(F.col("_known").isNull()).alias("written"))
 
 
 def merged_pools(a: DataFrame, b: DataFrame) -> DataFrame:

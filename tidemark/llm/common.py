@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table of a scale directory."""
+    """One input table of a scale directory.
+
+    Texts can be long: unless the session says otherwise, Arrow batches are kept to 1000 rows, which bounds what a Python worker holds.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -87,7 +87,8 @@ def test_secret_spans_and_links(spark, rows):
 
 
 def brute_lines(records, min_chars=20, min_docs=3):
-    keys = [[line_dedup.line_key(x) for x in (t or "").split("\n")] for _, t in records]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keys = [[x.strip(" \t\n\x0b\x0c\r").translate(lower) for x in (t or "").split("\n")] for _, t in records]
     held = {}
     for (i, _), ks in zip(records, keys):
         for k in ks:
@@ -102,7 +103,7 @@ def brute_lines(records, min_chars=20, min_docs=3):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [1 << 16, 1 << 27])
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 26])
 def test_line_dedup(spark, docs, rows, bits):
     out = line_dedup.dedup_lines(docs.select("doc_id", "text"), max_filter_bits=bits).collect()
     assert sorted(map(tuple, out), key=str) == brute_lines([(r.doc_id, r.text) for r in rows])
@@ -115,7 +116,7 @@ def test_line_dedup(spark, docs, rows, bits):
 def test_twice_seen_filter_has_every_repeated_key(spark, docs, rows):
     bits = 1 << 18
     seen = line_dedup.twice_seen_filter(docs, "text", bits, 20)
-    count = Counter(k for r in rows for k in line_dedup._keys(r.text, 20))
+    count = Counter(k for r in rows for k in line_dedup._keys((r.text or '').encode(), 20))
     twice = [k for k, n in count.items() if n > 1]
     p = line_dedup._positions(twice, bits)
     assert ((seen[p >> np.uint64(3)] >> (7 - (p & np.uint64(7))).astype(np.uint8)) & 1).all()

@@ -7,7 +7,7 @@ building them moves at most a few bytes per line and no text. A key whose bits a
 exact count of documents and the choice of the kept occurrence. A false positive costs a shuffled row, never a wrong
 answer.
 
-The filter has about eight bits a line between 2**16 and ``max_filter_bits`` (2**27 bits, 16 MB: the only thing sent
+The filter has about eight bits a line between 2**16 and ``max_filter_bits`` (2**26 bits, 8 MB: the only thing sent
 to the driver and the executors, whatever the corpus). Past that size more keys are suspected, up to all of them, and
 the operator becomes the plain exact aggregation of 32-byte digests; results never change.
 """
@@ -26,24 +26,27 @@ from pyspark.sql import functions as F
 from .common import free_name, written
 
 #: White space stripped from both ends of a line to form its key (fixed values).
-STRIPPED = " \t\n\x0b\x0c\r"
+STRIPPED = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 16
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def line_key(line: str) -> str:
-    """The key of a line: stripped of ASCII white space, A-Z lower-cased, all else as it is."""
-    key = line.strip(STRIPPED)
-    return key.lower() if key.isascii() else key.translate(_LOWER)
+def line_key(line: bytes) -> bytes:
+    """The key of a UTF-8 line: stripped of ASCII white space, A-Z lower-cased, all else as it is."""
+    return line.strip(STRIPPED).lower()
 
 
-def _keys(text: str | None, min_chars: int) -> set[str]:
-    return {k for k in map(line_key, (text or "").split("\n")) if len(k) >= min_chars}
+def long_enough(key: bytes, min_chars: int) -> bool:
+    """Whether a key has ``min_chars`` code points, decoded only where its bytes don't tell."""
+    return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars)
+
+
+def _keys(text: bytes | None, min_chars: int) -> set[bytes]:
+    return {k for k in map(line_key, (text or b"").split(b"\n")) if long_enough(k, min_chars)}
 
 
 def _positions(keys, bits: int) -> np.ndarray:
     """Two filter positions for each key."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k.encode()) for k in keys), np.uint64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
     return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(bits - 1)], axis=1)
 
 
@@ -61,7 +64,7 @@ def twice_seen_filter(docs: DataFrame, text_col: str, bits: int, min_chars: int)
         once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
         for batch in batches:
             pending: list[np.ndarray] = []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
                 if keys := _keys(text, min_chars):
                     # the two bits of one key may coincide; a document counts once for each bit
                     pending.append(np.unique(_positions(keys, bits)))
@@ -121,7 +124,7 @@ def filter_bits(lines: int, max_filter_bits: int) -> int:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 1 << 27
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 1 << 26
 ) -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``, plus ``n_lines`` and ``n_dropped``.
 
@@ -141,13 +144,13 @@ def dedup_lines(
         seen = np.frombuffer(suspects.value, np.uint8)
         for batch in batches:
             ids, digests = [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
+            for at, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 keys = list(_keys(text, min_chars))
                 if not keys:
                     continue
                 p = _positions(keys, bits)
                 hit = ((seen[p >> np.uint64(3)] >> (7 - (p & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-                found = [hashlib.sha256(keys[i].encode()).digest() for i in np.flatnonzero(hit)]
+                found = [hashlib.sha256(keys[i]).digest() for i in np.flatnonzero(hit)]
                 ids += [at] * len(found)
                 digests += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(digests, pa.binary())], ["id", "key"])
@@ -170,16 +173,17 @@ def dedup_lines(
     def kept(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(width).to_pylist(), strict=True):
-                rows = (text or "").split("\n")
-                n_lines.append(len(rows))
+            for text, gone in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column(width).to_pylist(), strict=True):
+                text = text or b""
+                n_lines.append(text.count(b"\n") + 1)
+                left = n_lines[-1]
                 if gone:
                     gone = set(gone)
-                    rows = [r for r in rows if len(k := line_key(r)) < min_chars or hashlib.sha256(k.encode()).digest() not in gone]
-                    text = "\n".join(rows)
-                texts.append(text or "")
-                n_dropped.append(n_lines[-1] - len(rows))
-            columns = [batch.column(i) if i != text_at else pa.array(texts, pa.string()) for i in range(width)]
+                    rows = [r for r in text.split(b"\n") if not long_enough(k := line_key(r), min_chars) or hashlib.sha256(k).digest() not in gone]
+                    left, text = len(rows), b"\n".join(rows)
+                texts.append(text)
+                n_dropped.append(n_lines[-1] - left)
+            columns = [batch.column(i) if i != text_at else pa.array(texts, pa.binary()).cast(pa.string()) for i in range(width)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -334,6 +334,7 @@ def test_html_zones_and_recurring_runs(spark):
         (13, "https://k.example", "<main><header><h1>Title</h1></header><p>One<!-- no --> two</p><form>no</form><section class='user-comments'><p>no</p></section><div class='share'>no</div><p>a&nbsp;b</p></main><aside>no</aside>"),
         (14, "https://k.example", "<article><h2>T</h2><p>x &lt;y&gt;</p><article class='comment'>no</article></article><div id='cookie-notice'>no</div><script>if (a<b) {'</p>'}</script>"),
         (15, "https://k.example", "<p>" + "very long text " * 60_000 + "</p>"), (15, "https://k.example", "<"), (None, "https://k.example", "<p>no id</p>"),
+        *[(i, "https://copies.example", "<p>the very same words on two pages that have no article at all here</p>") for i in (20, 20, 21)],
     ]
     got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     text = {r.page_id: r.text for r in got if r.n_chars != 1}
@@ -341,7 +342,7 @@ def test_html_zones_and_recurring_runs(spark):
         assert text[i].startswith(f"Unique words of page {i}") and text[i].endswith(f"w{i}x29")
     assert (text[10], text[11], text[12]) == ("", "", "open never closed & next")
     assert text[13] == "Title One two a b" and text[14] == "T x <y>" and len(text[15]) == 15 * 60_000 - 1 and text[None] == "no id"
-    assert len(got) == len(pages)
+    assert len(got) == len(pages) and text[20] == text[21] == "the very same words on two pages that have no article at all here"
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 

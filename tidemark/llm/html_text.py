@@ -116,8 +116,10 @@ def blocks(html: str) -> list[tuple[int, bool, str]]:
     return out
 
 
-def recurring(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, run: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of the tokens covered by substrings of ``run`` tokens found in distinct rows of one group, and first tokens.
+def recurring(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, run: int = 8, page: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of the tokens covered by substrings of ``run`` tokens found in distinct pages of one group, and first tokens.
+
+    ``page`` numbers the rows' pages; without it every row is one.
 
     The rows' token streams are one stream; its suffixes, told apart by group and cut at ``run`` tokens, are ranked by
     prefix doubling, and neighbours of equal rank in suffix order share a substring.
@@ -136,7 +138,7 @@ def recurring(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, run: int
     if not len(valid):
         return covered, first
     order = valid[np.argsort(rank[valid], kind="stable")]
-    ranked, owner = rank[order], row[order]
+    ranked, owner = rank[order], (row if page is None else page[row])[order]
     head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     shared = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
     hit = order[np.repeat(shared, np.diff(np.append(head, len(order))))]
@@ -150,7 +152,9 @@ def _finish(rows: list[dict], run: int) -> list[tuple[str, int, int]]:
     """Text, its code points, and covered tokens of each page of whole groups."""
     joined = [" ".join(r["texts"]).encode() for r in rows]
     offsets = np.concatenate([[0], np.cumsum([len(j) for j in joined])]).astype(np.int64)
-    covered, first = recurring(np.frombuffer(b"".join(joined), np.uint8), offsets, np.array([r["part"] for r in rows]), run)
+    same: dict[tuple, int] = {}
+    page = np.array([same.setdefault((r["part"], j), len(same)) for r, j in zip(rows, joined, strict=True)])
+    covered, first = recurring(np.frombuffer(b"".join(joined), np.uint8), offsets, np.array([r["part"] for r in rows]), run, page)
     out = []
     for k, r in enumerate(rows):
         at, kept, has_main = int(first[k]), [], MAIN in r["zones"]
@@ -170,8 +174,8 @@ def extract(
 ) -> DataFrame:
     """One row per page: ``id_col, url_col, text, n_chars, n_recurring`` (tokens that recur on other pages of the host).
 
-    Null or empty html has an empty text. A null or odd url is a host of its own name. Repeated rows are pages of
-    their own, but rows of one id don't make each other's text recur less than other pages would. An empty table gives no rows.
+    Null or empty html has an empty text. Null and odd urls share a nameless host. Repeated rows stay, and pages of equal
+    text count as one when runs are looked for. An empty table gives no rows.
     Host sizes are broadcast while there are at most ``max_hosts`` hosts and joined by shuffle beyond.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))

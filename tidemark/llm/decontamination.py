@@ -243,7 +243,7 @@ def checked(item: Item, words: list[int]) -> tuple[float, float]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    rank: int = 64, min_cosine: float = 0.35, same: float = 0.8, paraphrase: float = 0.6, answered: float = 0.75, frequent: float = 0.002, block: int = 2048,
+    rank: int = 64, min_cosine: float = 0.25, same: float = 0.8, paraphrase: float = 0.6, answered: float = 0.75, frequent: float = 0.002, block: int = 2048,
 ) -> DataFrame:
     """Contaminated pairs: ``id_col, item_col, cosine, lcs, answer, mark`` (``mark``: hash of the text).
 

@@ -346,6 +346,24 @@ def test_html_zones_and_recurring_runs(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_runs_recur_over_a_whole_large_host(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"v{rng.getrandbits(40)}" for _ in range(n))
+    shared = [words(12) for _ in range(30)]
+    pages = [(i, "https://big.example/x", f"<div>{words(20)}</div>" + "".join(f"<div>{s}</div>" for j, s in enumerate(shared) if i % 40 == j)) for i in range(200)]
+    # copies of one page aren't recurrence, with or without an id
+    copy = f"<div>{words(15)}</div>"
+    pages += [(1000 + i, "https://big.example/c", copy) for i in range(20)] + [(None, "https://big.example/c", copy)] * 20
+    pages += [(2000 + i, f"https://{i % 3}.example/s", f"<div>{words(20)}</div><div>{shared[0]}</div>") for i in range(9)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = lambda size: sorted(map(tuple, html_text.extract(frame, group_pages=size).collect()), key=str)
+    whole = rows(10_000)
+    assert rows(8) == whole and rows(1) == whole and len(whole) == len(pages)
+    for i, _, text, _, n_recurring in whole:
+        assert len(text.split()) == (15 if i is None or 1000 <= i < 2000 else 20)
+        assert n_recurring == (12 if i is not None and (i >= 2000 or i < 200 and i % 40 < 30) else 0)
+
+
 def test_recurring_runs_against_brute_force():
     rng = random.Random(4)
     streams = [" ".join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(30)]

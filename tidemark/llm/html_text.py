@@ -7,17 +7,22 @@ equal neighbours from distinct pages are the long substrings that recur, and eve
 blocks mostly covered go, as do covered link lists inside the main text; unique runs stay, and so does all other
 main text, which several pages may well share.
 
-Pages of a host are compared in groups of about ``group_pages`` by page-id hash: boilerplate recurs in every group,
-and no group grows with its host.
+A host of at most ``group_pages`` pages is compared in one piece. A larger one is cut into groups by hash, and its runs are
+compared over all groups. First each group sends short marks of its runs, one mark for neighbours (the least hash of the
+half-runs inside), and learns which other groups have too; equal runs have equal marks. The few runs left are sent whole,
+with the least and greatest page text that holds them, and those of two or more page texts go back to the groups that have
+them. The result is that of the one piece, and no group grows with its host.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,45 +121,67 @@ def blocks(html: str) -> list[tuple[int, bool, str]]:
     return out
 
 
-def recurring(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, run: int = 8, page: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of the tokens covered by substrings of ``run`` tokens found in distinct pages of one group, and first tokens.
-
-    ``page`` numbers the rows' pages; without it every row is one.
+def run_hashes(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, run: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of every run of tokens within a row: its first token, hash (told apart by group), mark and row; each row's first token, and the runs' length.
 
-    The rows' token streams are one stream; its suffixes, told apart by group and cut at ``run`` tokens, are ranked by
-    prefix doubling, and neighbours of equal rank in suffix order share a substring.
+    The rows' token streams are one stream; its suffixes, cut at ``run`` tokens, are ranked by prefix doubling.
     """
     starts, ends, first = word_spans(data, offsets)
-    covered = np.zeros(len(starts), bool)
-    if len(starts) < run:
-        return covered, first
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     rank = mix(span_hashes(data, starts, ends) + mix(group[row].astype(np.uint64)))
-    depth = 1
+    depth = half = 1
+    least = rank
     while depth < run:
+        least, half = rank, depth
         rank = mix(rank[:-depth] * np.uint64(3) + mix(rank[depth:]))
         depth *= 2
     valid = np.flatnonzero(row[: len(rank)] == row[depth - 1 :][: len(rank)])
-    if not len(valid):
-        return covered, first
-    order = valid[np.argsort(rank[valid], kind="stable")]
-    ranked, owner = rank[order], (row if page is None else page[row])[order]
-    head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    shared = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
-    hit = order[np.repeat(shared, np.diff(np.append(head, len(order))))]
-    edge = np.zeros(len(starts) + 1, np.int64)
+    marks = mix(np.minimum.reduce([least[j : j + len(rank)] for j in range(depth - half + 1)]))
+    return valid, rank[valid], marks[valid], row[valid], first, depth
+
+
+def _cover(hit: np.ndarray, depth: int, size: int) -> np.ndarray:
+    """Mask of the tokens of the runs that start at ``hit``."""
+    edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + depth, -1)
-    return np.cumsum(edge[:-1]) > 0, first
+    return np.cumsum(edge[:-1]) > 0
+
+
+def recurring(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, run: int = 8, page: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of the tokens covered by substrings of ``run`` tokens found in distinct pages of one group, and first tokens.
+
+    ``page`` numbers the rows' pages; without it every row is one. Neighbours of equal rank in suffix order share a substring.
+    """
+    valid, rank, _, row, first, depth = run_hashes(data, offsets, group, run)
+    if not len(valid):
+        return np.zeros(first[-1], bool), first
+    order = np.argsort(rank, kind="stable")
+    owner = (row if page is None else page[row])[order]
+    head = _heads(rank[order])
+    shared = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
+    return _cover(valid[order[np.repeat(shared, np.diff(np.append(head, len(order))))]], depth, first[-1]), first
+
+
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _stream(texts: list[list[str]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Each page's blocks as bytes, all of them, and where each begins."""
+    joined = [" ".join(t).encode() for t in texts]
+    return joined, np.frombuffer(b"".join(joined), np.uint8), np.concatenate([[0], np.cumsum([len(j) for j in joined])]).astype(np.int64)
 
 
 def _finish(rows: list[dict], run: int) -> list[tuple[str, int, int]]:
-    """Text, its code points, and covered tokens of each page of whole groups."""
-    joined = [" ".join(r["texts"]).encode() for r in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(j) for j in joined])]).astype(np.int64)
+    """Text, its code points, and covered tokens of each page of whole hosts."""
+    joined, data, offsets = _stream([r["texts"] for r in rows])
     same: dict[tuple, int] = {}
     page = np.array([same.setdefault((r["part"], j), len(same)) for r, j in zip(rows, joined, strict=True)])
-    covered, first = recurring(np.frombuffer(b"".join(joined), np.uint8), offsets, np.array([r["part"] for r in rows]), run, page)
+    return _judged(rows, *recurring(data, offsets, np.array([r["part"] for r in rows]), run, page))
+
+
+def _judged(rows: list[dict], covered: np.ndarray, first: np.ndarray) -> list[tuple[str, int, int]]:
     out = []
     for k, r in enumerate(rows):
         at, kept, has_main = int(first[k]), [], MAIN in r["zones"]
@@ -169,6 +196,94 @@ def _finish(rows: list[dict], run: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def _blobs(rows: list[dict]) -> list[list[str]]:
+    return [zlib.decompress(r["body"]).decode().split("\n") if r["zones"] else [] for r in rows]
+
+
+def _parted(part: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """A group's values, in order of their bucket, as one row a bucket."""
+    cut = _heads(bucket) if len(bucket) else np.zeros(0, np.int64)
+    pieces = [pa.array([x.tobytes() for x in np.split(c, cut[1:])] if len(cut) else [], pa.binary()) for c in columns.values()]
+    return pa.table([pa.array(bucket[cut].astype(np.int32)), pa.array(np.full(len(cut), part, np.int64)), *pieces], ["bucket", "part", *columns])
+
+
+def _back(rows: pa.Table, hit: np.ndarray, values: np.ndarray) -> pa.Table:
+    """The values at ``hit`` (sorted), to the groups they came from."""
+    cut = np.searchsorted(hit, np.concatenate([[0], np.cumsum([len(x) // values.itemsize for x in rows["keys"].to_pylist()])]))
+    back = [values[hit[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table([rows["bucket"], rows["part"], pa.array(back, pa.binary())], ["bucket", "part", "keys"])
+
+
+def _repeats(ordered: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """Where equal neighbours stand whose least of ``others[0]`` and greatest of ``others[-1]`` differ."""
+    head = _heads(ordered)
+    shared = np.minimum.reduceat(others[0], head) < np.maximum.reduceat(others[-1], head)
+    return np.repeat(shared, np.diff(np.append(head, len(ordered))))
+
+
+class _Host:
+    """The steps over a large host's groups; the runs' marks are kept to 32 bits besides their bucket."""
+
+    def __init__(self, run: int, buckets: int, names: list[str]):
+        self.run, self.buckets, self.names = run, buckets, names
+
+    def runs(self, pages: pa.Table):
+        rows = pages.select(["zones", "links", "body"]).to_pylist()
+        for r, texts in zip(rows, _blobs(rows), strict=True):
+            r["texts"] = texts
+        joined, data, offsets = _stream([r["texts"] for r in rows])
+        salt = pages["_h"].to_numpy() if rows else np.zeros(0, np.int64)
+        page = np.array([xxhash.xxh64_intdigest(j) for j in joined], np.uint64)
+        return rows, page, *run_hashes(data, offsets, salt, self.run)
+
+    def short(self, marks: np.ndarray) -> np.ndarray:
+        """A mark's bucket and 32 bits."""
+        return (marks % np.uint64(self.buckets)) << np.uint64(32) | marks >> np.uint64(32)
+
+    def marks(self, pages: pa.Table) -> pa.Table:
+        short = np.unique(self.short(self.runs(pages)[4]))
+        return _parted(pages["_part"][0].as_py(), short >> np.uint64(32), keys=short.astype(np.uint32))
+
+    def known(self, rows: pa.Table) -> pa.Table:
+        """The marks that several groups have."""
+        keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint32)
+        order = np.argsort(keys, kind="stable")
+        # a group has a mark once
+        return _back(rows, np.sort(order[_repeats(keys[order], order)]), keys)
+
+    def suspects(self, pages: pa.Table, known: pa.Table) -> pa.Table:
+        """Distinct runs whose mark other pages have, with the least and greatest hash of the page texts."""
+        _, page, _, rank, marks, row, _, _ = self.runs(pages)
+        short, page = self.short(marks), page[row]
+        order = np.argsort(short, kind="stable")
+        near = np.zeros(len(short), bool)
+        if len(short):
+            near[order] = _repeats(short[order], page[order])
+        away = [np.uint64(k) << np.uint64(32) | np.frombuffer(x, np.uint32).astype(np.uint64) for k, x in zip(known["bucket"].to_pylist(), known["keys"].to_pylist(), strict=True)]
+        some = near | np.isin(short, np.concatenate([short[:0], *away]))
+        rank, page = rank[some], page[some]
+        order = np.lexsort((rank, rank % np.uint64(self.buckets)))
+        rank, page = rank[order], page[order]
+        head = _heads(rank) if len(rank) else order
+        low, high = (f.reduceat(page, head) if len(head) else page for f in (np.minimum, np.maximum))
+        part = pages["_part"][0].as_py() if len(page) else 0
+        return _parted(part, rank[head] % np.uint64(self.buckets), keys=rank[head], low=low, high=high)
+
+    def shared(self, rows: pa.Table) -> pa.Table:
+        """The runs of two or more page texts, for each group that has them."""
+        keys, low, high = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint64) for c in ("keys", "low", "high"))
+        order = np.argsort(keys, kind="stable")
+        return _back(rows, np.sort(order[_repeats(keys[order], low[order], high[order])]), keys)
+
+    def texts(self, pages: pa.Table, shared: pa.Table) -> pa.Table:
+        """A group's pages, judged by the runs that recur on the host."""
+        rows, _, valid, rank, _, _, first, depth = self.runs(pages)
+        found = np.frombuffer(b"".join(shared["keys"].to_pylist()), np.uint64)
+        done = _judged(rows, _cover(valid[np.isin(rank, found)], depth, first[-1]), first)
+        text, *counts = (pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64())))
+        return pa.table([pages["_id"], pages["_url"], text, *counts], self.names)
+
+
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = 8, group_pages: int = 256, max_hosts: int = 200_000
 ) -> DataFrame:
@@ -176,11 +291,12 @@ def extract(
 
     Null or empty html has an empty text. Null and odd urls share a nameless host. Repeated rows stay, and pages of equal
     text count as one when runs are looked for. An empty table gives no rows.
-    Host sizes are broadcast while there are at most ``max_hosts`` hosts and joined by shuffle beyond.
+    Hosts of over ``group_pages`` pages are broadcast while they are at most ``max_hosts`` and joined by shuffle beyond.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    sized = pages.select(host.alias("_host")).groupBy("_host").agg(F.count("*").alias("_n"))
-    small = sized.limit(max_hosts + 1).count() <= max_hosts
+    large = pages.select(host.alias("_host")).groupBy("_host").agg(F.count("*").alias("_n")).where(F.col("_n") > group_pages)
+    n_large = large.limit(max_hosts + 1).count()
+    few = n_large <= max_hosts
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("_host"))
 
     def parsed(batches):
@@ -188,19 +304,22 @@ def extract(
             found = [blocks(h or "") for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], batch.column(3), pa.array([[b[0] for b in f] for f in found], pa.list_(pa.int8())),
-                 pa.array([[b[1] for b in f] for f in found], pa.list_(pa.bool_())), pa.array([[b[2] for b in f] for f in found], pa.list_(pa.string()))],
-                ["_id", "_url", "_host", "zones", "links", "texts"],
+                 pa.array([[b[1] for b in f] for f in found], pa.list_(pa.bool_())), pa.array([zlib.compress("\n".join(b[2] for b in f).encode(), 1) for f in found], pa.binary())],
+                ["_id", "_url", "_host", "zones", "links", "body"],
             )
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    ready = rows.mapInArrow(parsed, f"_id {id_type}, _url string, _host string, zones array<tinyint>, links array<boolean>, texts array<string>")
-    ready = ready.join(F.broadcast(sized) if small else sized, "_host")
-    groups = F.greatest(F.lit(1), F.ceil(F.col("_n") / group_pages)).cast("bigint")
-    ready = ready.withColumn("_group", F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit(""))), groups)).drop("_n")
+
+    def ready(how: str) -> DataFrame:
+        """Parsed pages of large hosts (``inner``) or of the others (``left_anti``); a long list of hosts meets texts, not html."""
+        named = rows.join(F.broadcast(large.select("_host")), "_host", how).select("_id", "_url", "_html", "_host") if few and n_large else rows
+        out = named.mapInArrow(parsed, f"_id {id_type}, _url string, _host string, zones array<tinyint>, links array<boolean>, body binary")
+        return out if few and how == "left_anti" else out.join(F.broadcast(large) if few else large, "_host", how)
+
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def finished(batches):
-        """Whole groups, many small ones at a time."""
+        """Whole hosts, many small ones at a time."""
         pending, key, part, size = [], None, 0, 0
 
         def out():
@@ -213,17 +332,31 @@ def extract(
 
         for batch in batches:
             id_arrow = batch.schema.field("_id").type
-            for r in batch.to_pylist():
-                if (r["_host"], r["_group"]) != key:
+            rows = batch.to_pylist()
+            for r, texts in zip(rows, _blobs(rows), strict=True):
+                r["texts"] = texts
+                if r["_host"] != key:
                     if size > 1 << 20:
                         yield out()
                         pending, size = [], 0
-                    key, part = (r["_host"], r["_group"]), part + 1
+                    key, part = r["_host"], part + 1
                 r["part"] = part
                 pending.append(r)
                 size += sum(map(len, r["texts"]))
         if pending:
             yield out()
 
-    spread = ready.repartition(parts, "_host", "_group").sortWithinPartitions("_host", "_group")
-    return spread.mapInArrow(finished, f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars bigint, n_recurring bigint")
+    schema = f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars bigint, n_recurring bigint"
+    whole = ready("left_anti").repartition(parts, "_host").sortWithinPartitions("_host").mapInArrow(finished, schema)
+    if not n_large:
+        return whole
+    groups = F.ceil(F.col("_n") / group_pages).cast("bigint")
+    part = F.xxhash64("_host", F.pmod(F.xxhash64("_id", "_url", "body"), groups))
+    # every step takes the same columns, so that the texts are shuffled once
+    held = ready("inner").select("_id", "_url", "zones", "links", "body", F.xxhash64("_host").alias("_h"), part.alias("_part")).repartition(parts, "_part")
+    host_steps, keys = _Host(run, parts, [id_col, url_col, "text", "n_chars", "n_recurring"]), "bucket int, part long, keys binary"
+    groups = held.groupBy("_part")
+    known = groups.applyInArrow(lambda rows: host_steps.marks(rows), keys).groupBy("bucket").applyInArrow(lambda rows: host_steps.known(rows), keys)
+    runs = groups.cogroup(known.groupBy("part")).applyInArrow(lambda pages, found: host_steps.suspects(pages, found), f"{keys}, low binary, high binary")
+    shared = runs.groupBy("bucket").applyInArrow(lambda rows: host_steps.shared(rows), keys)
+    return whole.unionByName(groups.cogroup(shared.groupBy("part")).applyInArrow(lambda pages, found: host_steps.texts(pages, found), schema))

@@ -154,6 +154,19 @@ def test_latent_retrieval_finds_copies_and_paraphrases(spark, docs, rows):
     assert decontamination.decontaminate(awkward(spark), bench).count() == 12
 
 
+def test_items_within_repetitive_texts_are_found(spark, docs):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    rng = random.Random(9)
+    planted = []
+    for n, (key, text) in enumerate([x for _ in range(8) for x in items.items()]):
+        few = [f"q{rng.getrandbits(30)}" for _ in range(rng.randint(2, 7))]
+        planted.append((500_000 + n, " ".join(rng.choices(few, k=rng.randint(20, 200)) + [text] + rng.choices(few, k=100)), key))
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([p[:2] for p in planted], "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(more, bench).collect()}
+    assert {(p[0], p[2]) for p in planted} <= got
+
+
 def test_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):

@@ -4,7 +4,9 @@ Texts are cut into short passages. Their TF-IDF matrix A (hashed terms, passage
 frequent terms that mark no item left out) gets a distributed randomised SVD: every task multiplies its rows by one sparse
 random test matrix G and back, the partial sketches ``A'AG`` are added up by row segments, and a Nystrom step on the
 driver gives right singular vectors and values. Windows of an item's length, made of whole passages, are folded into the
-latent space, whitened, and compared by cosine with every benchmark item, in blocks. Candidates are then checked on words:
+latent space, whitened, and compared by cosine with every benchmark item, in blocks. Stretches that share two adjacent words
+with an item are candidates too, whatever their cosine: repeated heavy terms around an item can swamp it in a window.
+Candidates are then checked on words:
 the longest common subsequence with the item, and for paraphrases also whether the item's answer stands in the same place.
 
 Sizes on the driver and in broadcasts are fixed by ``2**TERM_BITS`` terms and the rank, or by a block of items, never by the
@@ -283,6 +285,8 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
             member[k, ids] = True
         queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
         lengths = np.array([len(set(i.words)) for i in items])
+        paired, owners = _pair_index(items)
+        sizes = np.array([len(i.words) for i in items])
         # passages in an item's window: its length, rounded up to an even number
         scale = np.array([2 * max(1, -(-len(i.words) // (2 * step))) for i in items])
         for batch in batches:
@@ -318,6 +322,16 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
                         lcs, answer = checked(item, ids[a:z].tolist())
                         if (lcs >= same or lcs >= paraphrase and answer >= answered) and (lcs, answer) > best.get((r, int(k[c])), (0.0, 0.0))[:2]:
                             best[r, int(k[c])] = (lcs, answer, float(sums[w[c]] @ queries[k[c]] * min_cosine / least[w[c]]))
+                r, k, lo, hi = _sharing(ids, first, paired, owners, sizes)
+                for c in _promising(ids, lo, hi, member, k, lengths, paraphrase):
+                    pair = int(r[c]) + base, int(k[c])
+                    if best.get(pair, (0.0,))[0] == 1:
+                        continue
+                    stretch = ids[lo[c] : hi[c]]
+                    lcs, answer = checked(items[k[c]], stretch.tolist())
+                    if (lcs >= same or lcs >= paraphrase and answer >= answered) and (lcs, answer) > best.get(pair, (0.0, 0.0))[:2]:
+                        whole = table[stretch & (TERMS - 1)].sum(axis=0)
+                        best[pair] = (lcs, answer, float(whole @ queries[k[c]] / max(np.linalg.norm(whole), 1e-12)))
             at = pa.array([r for r, _ in best], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).take(at), pa.array([items[k].key for _, k in best], item_arrow), *(pa.array([v[i] for v in best.values()], pa.float64()) for i in (2, 0, 1)), batch.column(2).take(at)],
@@ -327,6 +341,39 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
     return search
 
 
+def _pairs(ids: np.ndarray) -> np.ndarray:
+    return ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
+
+
+def _pair_index(items: list[Item]) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacent words of all items, sorted, and whose they are."""
+    pairs = [np.unique(_pairs(np.array(i.words, np.uint32))) for i in items]
+    keys = np.concatenate([np.zeros(0, np.uint64), *pairs])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.repeat(np.arange(len(items)), [len(p) for p in pairs])[order]
+
+
+def _sharing(ids, first, paired, owners, sizes):
+    """Row, item and bounds of every stretch about adjacent words that an item has too: all that a check from there can reach."""
+    keys = _pairs(ids)
+    lo = np.searchsorted(paired, keys)
+    at = np.flatnonzero(np.append(paired, np.uint64(0))[lo] == keys) if len(paired) else lo[:0]
+    row = np.searchsorted(first, at, side="right") - 1
+    inside = at + 1 < first[row + 1]
+    at, row = at[inside], row[inside]
+    lo, n = lo[at], np.searchsorted(paired, keys[at], side="right") - lo[at]
+    item = owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    at, row = np.repeat(at, n), np.repeat(row, n)
+    # one stretch for the places within half an item
+    width = np.maximum(1, sizes[item] // 2)
+    place = (at - first[row]) // width
+    _, one = np.unique((row * len(sizes) + item) * (len(ids) + 1) + place, return_index=True)
+    row, item, width, place = row[one], item[one], width[one], place[one]
+    reach = -(-sizes[item] * 13 // 10)
+    begin = first[row] + place * width
+    return row, item, np.maximum(begin - reach, first[row]), np.minimum(begin + width + reach, first[row + 1])
+
+
 def _promising(ids, lo, hi, member, k, lengths, share):
     """Indices of candidates whose reach holds ``share`` of the item's distinct words, at least by term."""
     terms = (ids & (TERMS - 1)).astype(np.int32)

@@ -86,6 +86,14 @@ def test_secret_spans_and_links(spark, rows):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_long_values_are_reported_whole(spark):
+    values = {"account": "client_id=" + "g" * 9000, "cipher": "k" * 500 + "B7" * 5000 + "==", "phrase": "auth_key=" + "z" * 9000, "endpoint": "https://" + "h" * 9000}
+    text = " ".join(values.values())
+    want = [(text.index(v), secret_scan.ORDER[k], text.index(v) + len(v)) for k, v in values.items()]
+    r = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), scope=20_000).first()
+    assert [tuple(x) for x in r.weak] == want
+
+
 def brute_lines(records, min_chars=20, min_docs=3):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     keys = [[x.strip(" \t\n\x0b\x0c\r").translate(lower) for x in (t or "").split("\n")] for _, t in records]

@@ -22,10 +22,10 @@ BASE = (
 )
 #: Weak kinds: the part they can be, and their pattern (fixed values).
 WEAK = (
-    ("account", "identifier", r"""(?i)(?<![A-Za-z0-9_])(?:access_?key_?id|client_?id|account_?id|tenant_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,128}"""),
-    ("cipher", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z/+]{0,128}[0-9])(?=[a-z0-9/+]{0,128}[A-Z])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])"),
-    ("phrase", "secret", r"""(?i)(?<![A-Za-z0-9_])(?:pwd|passphrase|private_?key|client_?key|auth_?key|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,256}"""),
-    ("endpoint", "endpoint", r"""(?i)(?<![A-Za-z0-9_])[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]{3,512}"""),
+    ("account", "identifier", r"""(?i)(?<![A-Za-z0-9_])(?:access_?key_?id|client_?id|account_?id|tenant_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}+"""),
+    ("cipher", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z/+]*+[0-9])(?=[a-z0-9/+]*+[A-Z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"),
+    ("phrase", "secret", r"""(?i)(?<![A-Za-z0-9_])(?:pwd|passphrase|private_?key|client_?key|auth_?key|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}+"""),
+    ("endpoint", "endpoint", r"""(?i)(?<![A-Za-z0-9_])[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]{3,}+"""),
 )
 PART = {"assign": "secret", "access": "identifier", "hex": "secret"} | {kind: part for kind, part, _ in WEAK}
 ORDER = {kind: i for i, kind in enumerate([*(k for k, _ in BASE), *(k for k, _, _ in WEAK)])}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Bytes of [\x20\x09-\x0D], the white space of every contract here (fixed values).
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -16,14 +17,15 @@ ASCII_LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes hashed at a time, and the longest span that is hashed by running sums.
+_BLOCK, _LONG = 1 << 20, 1 << 16
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = max(n, 1 << 20) + 1
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if not _tables:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(_BLOCK + _LONG + 1, base, np.uint64)
             steps[0] = 1
             _tables[name] = np.cumprod(steps, dtype=np.uint64)
     return _tables["up"], _tables["down"]
@@ -39,11 +41,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each byte span, equal for equal bytes wherever they stand; ``starts`` ascend.
+
+    Running sums are taken over a block of bytes at a time, so memory beyond the result doesn't grow with the text; the rare
+    spans of over 64 KB are hashed each by itself.
+    """
+    up, down = _powers()
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        lo = int(starts[at])
+        stop = int(np.searchsorted(starts, lo + _BLOCK))
+        part = data[lo : lo + _BLOCK + _LONG]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        s, size = starts[at:stop] - lo, ends[at:stop] - starts[at:stop]
+        out[at:stop] = mix((sums[np.minimum(s + size, len(part))] - sums[s]) * down[s] + size.astype(np.uint64))
+        for k in np.flatnonzero(size > _LONG).tolist():
+            out[at + k] = xxhash.xxh3_64_intdigest(data[starts[at + k] : ends[at + k]].tobytes())
+        at = stop
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

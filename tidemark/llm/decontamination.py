@@ -3,11 +3,14 @@
 Texts are cut into short passages. Their TF-IDF matrix A (hashed terms, passage frequencies over the whole corpus, very
 frequent terms that mark no item left out) gets a distributed randomised SVD: every task multiplies its rows by one sparse
 random test matrix G and back, the partial sketches ``A'AG`` are added up by row segments, and a Nystrom step on the
-driver gives right singular vectors and values. Windows of an item's length, made of whole passages, are folded into the
-latent space, whitened, and compared by cosine with every benchmark item, in blocks. Stretches that share two adjacent words
-with an item are candidates too, whatever their cosine: repeated heavy terms around an item can swamp it in a window.
-Candidates are then checked on words:
-the longest common subsequence with the item, and for paraphrases also whether the item's answer stands in the same place.
+driver gives right singular vectors and values. Stretches of the texts, up to 1.3 times as long as an item, are folded into the
+latent space, whitened, and compared by cosine with the item; those near it are checked on words: the longest common
+subsequence with the item, and for paraphrases also whether the item's answer stands in the same place. Copies that hold
+nearly all words of an item in order are checked whatever their cosine.
+
+The cosine is only taken where a check could succeed. A stretch that keeps 60 % of an item's words must hold some of any 40 %
+and a few of them, so the rarest are looked up in the texts, and stretches with fewer hits than that, or fewer of the item's words,
+are passed over. This is exact: no pair that the checks would accept is lost by it.
 
 Sizes on the driver and in broadcasts are fixed by ``2**TERM_BITS`` terms and the rank, or by a block of items, never by the
 corpus. No document text and no pair list is shuffled or collected.
@@ -108,28 +111,14 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, step: int) -> DataFrame
     return written(rows.mapInArrow(encode, f"id {kind.simpleString()}, mark long, words binary, segment int, part binary, n long"), "words")
 
 
-def _summed(table: np.ndarray, ids: np.ndarray, begin: np.ndarray, step: int) -> np.ndarray:
-    """Sum of the table's rows of each passage's terms; the table has a last row of zeros."""
-    terms = np.append((ids & (TERMS - 1)).astype(np.int32), np.full(step, TERMS, np.int32))
-    end = np.append(begin[1:], len(ids))
-    out = table[terms[begin]]
-    for j in range(1, step):
-        at = np.flatnonzero(begin + j < end)
-        if len(at) == len(begin):
-            out += table[terms[begin + j]]
-        else:
-            out[at] += table[terms[begin[at] + j]]
-    return out
-
-
 def _test_matrix(width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """A sparse random test matrix: each term's column and sign."""
     rng = np.random.default_rng(seed)
     return rng.integers(0, width, TERMS), rng.choice([-1.0, 1.0], TERMS)
 
 
-def term_weights(rows: DataFrame, items: list[Item], frequent: float) -> tuple[np.ndarray, int]:
-    """idf of every term, 0 for terms to leave out, and the number of passages.
+def term_weights(rows: DataFrame, items: list[Item], frequent: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """idf of every term, 0 for terms to leave out; passages that hold each term, and the number of all passages.
 
     Left out are terms of over ``frequent`` of all passages that mark no item (in none, or in over 2 % of the items):
     an item's own words count however often its text is found. An item of such terms alone keeps them.
@@ -145,7 +134,7 @@ def term_weights(rows: DataFrame, items: list[Item], frequent: float) -> tuple[n
         if out[terms].mean() > 0.8:
             out[terms] = False
     idf = np.log((1 + n) / (1 + frequency)) + 1e-3
-    return np.where(out, 0, idf).astype(np.float32), n
+    return np.where(out, 0, idf).astype(np.float32), frequency, n
 
 
 def latent_terms(rows: DataFrame, idf: np.ndarray, n: int, step: int, rank: int, spare: int = 8, seed: int = 4) -> np.ndarray:
@@ -231,107 +220,189 @@ def _ids_of(text: str | None) -> list[int]:
     return word_ids(raw, np.array([0, len(raw)]))[0].tolist()
 
 
-def checked(item: Item, words: list[int]) -> tuple[float, float]:
-    """Best share of the item, and of its answer there, that is a common subsequence with a stretch of ``words``."""
-    m, best = len(item.words), (0.0, 0.0)
-    size, step = -(-m * 13 // 10), max(1, m // 4)
-    for lo in range(0, max(1, len(words) - size + step), step):
-        part = words[lo : lo + size]
-        share = common_subsequence(item.words, part) / m
-        if share > best[0]:
-            best = (share, common_subsequence(item.answer, part) / len(item.answer))
-    return best
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    rank: int = 64, min_cosine: float = 0.25, same: float = 0.8, paraphrase: float = 0.6, answered: float = 0.75, frequent: float = 0.002, block: int = 2048,
+    rank: int = 64, min_cosine: float = 0.4, same: float = 0.8, paraphrase: float = 0.6, answered: float = 0.75, frequent: float = 0.002, block: int = 1 << 20,
 ) -> DataFrame:
     """Contaminated pairs: ``id_col, item_col, cosine, lcs, answer, mark`` (``mark``: hash of the text).
 
-    A pair counts if a stretch of the text holds ``same`` of the item's words in order, or ``paraphrase`` of them and
-    ``answered`` of its answer. Texts and items without words match nothing; repeated rows give a pair each; rows without an
-    id take part. Items are compared in blocks of ``block``. Empty tables give no rows. Other columns are not read.
+    A stretch is at most 1.3 times as long as the item. A pair counts if a stretch of the text holds ``same`` of the item's words
+    in order, or if one of ``min_cosine`` holds ``paraphrase`` of them and ``answered`` of its answer; the best stretch is
+    reported. Texts and items without words match nothing; repeated rows, and items of equal text, give a pair each; rows
+    without an id take part. Items are compared in blocks of about ``block`` words. Empty tables give no rows. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     items = _items(benchmark, item_col, item_text_col, answer_col)
-    # half the length of the shortest items: a window of whole passages then nearly fits any item
+    # half the length of the shortest items
     step = max(4, int(np.quantile([len(i.words) for i in items], 0.1)) // 2) if items else 16
     rows = encoded(docs, id_col, text_col, step)
-    vectors = latent_terms(rows, *term_weights(rows, items, frequent), step, rank)
+    idf, frequency, n = term_weights(rows, items, frequent)
+    vectors = latent_terms(rows, idf, n, step, rank)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, cosine double, lcs double, answer double, mark long"
     terms = spark.sparkContext.broadcast(vectors)
+    words = rows.where("words is not null").select("words", "id", "mark")
     found = None
-    for lo in range(0, max(1, len(items)), block):
-        sent = spark.sparkContext.broadcast(items[lo : lo + block])
-        pairs = rows.where("words is not null").select("words", "id", "mark").mapInArrow(_searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col, item_col, item_type), schema)
+    for part in _blocks(items, block):
+        sent = spark.sparkContext.broadcast(Index.of(part, frequency, same, paraphrase))
+        pairs = words.mapInArrow(_searcher(terms, sent, min_cosine, same, paraphrase, answered, id_col, item_col, item_type), schema)
         found = pairs if found is None else found.unionByName(pairs)
     return found
 
 
-def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col, item_col, item_type):
+def _blocks(items: list[Item], words: int) -> list[list[Item]]:
+    """Blocks of about ``words`` words, and at most ``words // 64`` items; one empty block if there are no items."""
+    out, size = [[]], 0
+    for item in items:
+        if out[-1] and (size >= words or len(out[-1]) >= max(1, words // 64)):
+            out.append([])
+            size = 0
+        out[-1].append(item)
+        size += len(item.words)
+    return out
+
+
+def reach_of(m: int) -> int:
+    """Words of a stretch that is compared with an item of ``m`` words."""
+    return -(-m * 13 // 10)
+
+
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``low, low + 1, ...`` (``n`` of them) of each pair, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(low - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+@dataclass
+class Index:
+    """A block of items by their rarest words.
+
+    A stretch that holds ``need`` of an item's ``m`` words in order leaves out ``m - need`` at most: of any ``m - need + seeds``
+    words it holds ``seeds``. The rarest are taken, so few stretches of the corpus are looked at, and none is missed.
+    """
+
+    items: list[Item]
+    need: np.ndarray
+    strict: np.ndarray
+    seeds: np.ndarray
+    reach: np.ndarray
+    flag: np.ndarray
+    rare: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+    member: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(items: list[Item], frequency: np.ndarray, same: float, paraphrase: float, seeds: int = 4) -> Index:
+        sizes = [len(i.words) for i in items]
+        strict = np.array([_least(same, m) for m in sizes], np.int64)
+        need = np.minimum(strict, np.array([_least(paraphrase, m) for m in sizes], np.int64))
+        seeds = np.minimum(seeds, need)
+        rare, owner, member, counts = [], [], [], []
+        for k, item in enumerate(items):
+            words, times = np.unique(np.array(item.words, np.uint32), return_counts=True)
+            order = np.lexsort((words, frequency[words & (TERMS - 1)]))
+            taken = order[: 1 + int(np.searchsorted(np.cumsum(times[order]), sizes[k] - need[k] + seeds[k]))]
+            rare.append(words[taken])
+            owner.append(np.full(len(taken), k))
+            others = np.setdiff1d(np.array(item.answer, np.uint32), words)
+            member += [np.uint64(k) << np.uint64(32) | x.astype(np.uint64) for x in (words, others)]
+            counts += [np.ones(len(words), bool), np.zeros(len(others), bool)]
+        rare, owner = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((rare, np.uint32), (owner, np.int64)))
+        member, counts = np.concatenate([np.zeros(0, np.uint64), *member]), np.concatenate([np.zeros(0, bool), *counts])
+        order, sort = np.argsort(rare, kind="stable"), np.argsort(member)
+        rare, at = np.unique(rare[order], return_index=True)
+        flag = np.zeros(TERMS, bool)
+        flag[rare & (TERMS - 1)] = True
+        reach = np.array([reach_of(m) for m in sizes], np.int64)
+        return Index(items, need, strict, seeds, reach, flag, rare, np.append(at, len(owner)), owner[order], member[sort], counts[sort])
+
+    def regions(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Item, row, and least and greatest start of the stretches that hold ``seeds`` of the item's rarest words."""
+        at = np.flatnonzero(self.flag[ids & (TERMS - 1)])
+        slot = np.searchsorted(self.rare, ids[at])
+        known = self.rare[np.minimum(slot, len(self.rare) - 1)] == ids[at] if len(self.rare) else np.zeros(len(at), bool)
+        at, slot = at[known], slot[known]
+        n = self.start[slot + 1] - self.start[slot]
+        k, p = self.owner[_ranges(self.start[slot], n)], np.repeat(at, n)
+        order = np.argsort(k, kind="stable")
+        k, p = k[order], p[order]
+        row = np.searchsorted(first, p, side="right") - 1
+        last = np.arange(len(k)) + self.seeds[k] - 1
+        i = np.flatnonzero(last < len(k))
+        last = last[i]
+        i, last = (x[(k[i] == k[last]) & (row[i] == row[last]) & (p[last] - p[i] < self.reach[k[i]])] for x in (i, last))
+        k, row, low, high = k[i], row[i], np.maximum(p[last] - self.reach[k[i]] + 1, first[row[i]]), p[i]
+        head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (row[1:] != row[:-1]) | (low[1:] > high[:-1] + 1)])) if len(k) else i
+        return k[head], row[head], low[head], high[np.append(head[1:], len(k)) - 1] if len(k) else high
+
+    def stretches(self, ids: np.ndarray, first: np.ndarray):
+        """Item, row, start, end and item's words of all stretches that begin with a word of the item and hold ``need`` of them."""
+        k, row, low, high = self.regions(ids, first)
+        stop = np.minimum(high + self.reach[k], first[row + 1])
+        size = np.cumsum(stop - low)
+        for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(size >> 20)) + 1):
+            n = stop[part] - low[part]
+            at, own = _ranges(low[part], n), np.repeat(part, n)
+            keys = k[own].astype(np.uint64) << np.uint64(32) | ids[at].astype(np.uint64)
+            slot = np.minimum(np.searchsorted(self.member, keys), len(self.member) - 1)
+            inside = self.member[slot] == keys
+            sums = np.concatenate([[0], np.cumsum(inside & self.counts[slot])])
+            j = np.flatnonzero(inside & (at <= high[own]))
+            own, begin = own[j], at[j]
+            end = np.minimum(begin + self.reach[k[own]], stop[own])
+            have = sums[j + end - begin] - sums[j]
+            some = have >= self.need[k[own]]
+            yield k[own][some], row[own][some], begin[some], end[some], have[some]
+
+
+def _least(share: float, m: int) -> int:
+    """The fewest of ``m`` words that are ``share`` of them."""
+    return max(1, int(np.ceil(share * m - 1e-9)))
+
+
+def _cosines(table: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Cosine of each stretch, every term counted once, with its item's latent vector."""
+    out = np.zeros(len(k))
+    for lo in range(0, len(k), 2048):
+        part = slice(lo, lo + 2048)
+        n = end[part] - begin[part]
+        window = np.repeat(np.arange(len(n)), n)
+        keys = np.unique(window * TERMS + (ids[_ranges(begin[part], n)] & (TERMS - 1)))
+        sums = np.add.reduceat(table[keys & (TERMS - 1)], np.searchsorted(keys, np.arange(len(n)) * TERMS), axis=0)
+        out[part] = np.einsum("ij,ij->i", sums, queries[k[part]]) / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
+    return out
+
+
+def _searcher(terms, sent, min_cosine, same, paraphrase, answered, id_col, item_col, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_arrow = to_arrow_type(item_type)
 
     def search(batches):
-        table, items = terms.value, sent.value
+        table, index = terms.value, sent.value
+        items = index.items
         queries = np.zeros((len(items), table.shape[1]), np.float32)
-        member = np.zeros((len(items), TERMS), bool)
         for k, item in enumerate(items):
-            ids = np.array(item.words, np.uint32) & (TERMS - 1)
-            queries[k] = table[ids].sum(axis=0)
-            member[k, ids] = True
+            queries[k] = table[np.unique(np.array(item.words, np.uint32) & (TERMS - 1))].sum(axis=0)
         queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-        lengths = np.array([len(set(i.words)) for i in items])
-        paired, owners = _pair_index(items)
-        sizes = np.array([len(i.words) for i in items])
-        # passages in an item's window: its length, rounded up to an even number
-        scale = np.array([2 * max(1, -(-len(i.words) // (2 * step))) for i in items])
         for batch in batches:
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for ids, first, base in _runs(batch.column(0)) if items else ():
-                begin, bag = _passages(first, step)
-                if not len(begin):
-                    continue
-                row = np.repeat(np.arange(len(bag) - 1), np.diff(bag))
-                left = bag[1:][row] - np.arange(len(row))
-                one = _summed(table, ids, begin, step)
-                two = one.copy()
-                more = np.flatnonzero(left > 1)
-                two[more] += one[more + 1]
-                sums, have = two.copy(), 2
-                for passages in np.unique(scale):
-                    while have < passages:
-                        more = np.flatnonzero(left > have)
-                        sums[more] += two[more + have]
-                        have += 2
-                    own = np.flatnonzero(scale == passages)
-                    least = min_cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", sums, sums)), 1e-12)
-                    k, w = np.nonzero(queries[own] @ sums.T >= least)
-                    k = own[k]
-                    # a cheap bound first: the item's terms that stand within a passage of the window
-                    lo = np.maximum(begin[w] - step, first[row[w]])
-                    hi = np.minimum(begin[w] + (passages + 1) * step, first[row[w] + 1])
-                    for c in _promising(ids, lo, hi, member, k, lengths, paraphrase):
-                        item, r = items[k[c]], int(row[w[c]]) + base
-                        reach = max(step, len(item.words) // 4)
-                        a = max(int(begin[w[c]]) - reach, int(first[row[w[c]]]))
-                        z = min(int(begin[w[c]]) + int(passages) * step + reach, int(first[row[w[c]] + 1]))
-                        lcs, answer = checked(item, ids[a:z].tolist())
-                        if (lcs >= same or lcs >= paraphrase and answer >= answered) and (lcs, answer) > best.get((r, int(k[c])), (0.0, 0.0))[:2]:
-                            best[r, int(k[c])] = (lcs, answer, float(sums[w[c]] @ queries[k[c]] * min_cosine / least[w[c]]))
-                r, k, lo, hi = _sharing(ids, first, paired, owners, sizes)
-                for c in _promising(ids, lo, hi, member, k, lengths, paraphrase):
-                    pair = int(r[c]) + base, int(k[c])
-                    if best.get(pair, (0.0,))[0] == 1:
-                        continue
-                    stretch = ids[lo[c] : hi[c]]
-                    lcs, answer = checked(items[k[c]], stretch.tolist())
-                    if (lcs >= same or lcs >= paraphrase and answer >= answered) and (lcs, answer) > best.get(pair, (0.0, 0.0))[:2]:
-                        whole = table[stretch & (TERMS - 1)].sum(axis=0)
-                        best[pair] = (lcs, answer, float(whole @ queries[k[c]] / max(np.linalg.norm(whole), 1e-12)))
+                for k, row, begin, end, have in index.stretches(ids, first):
+                    cosine = _cosines(table, queries, ids, k, begin, end)
+                    some = np.flatnonzero((cosine >= min_cosine) | (have >= index.strict[k]))
+                    # the fullest stretches of a pair first: nothing beats a whole one
+                    for c in some[np.lexsort((-have[some], k[some], row[some]))].tolist():
+                        item, pair = items[k[c]], (int(row[c]) + base, int(k[c]))
+                        known = best.get(pair, (0.0, 0.0))
+                        if known[:2] == (1.0, 1.0) or have[c] < known[0] * len(item.words):
+                            continue
+                        lcs, answer = judged(item, ids[begin[c] : end[c]].tolist(), paraphrase)
+                        if (lcs >= same or lcs >= paraphrase and answer >= answered and cosine[c] >= min_cosine) and (lcs, answer) > known[:2]:
+                            best[pair] = (lcs, answer, float(cosine[c]))
             at = pa.array([r for r, _ in best], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).take(at), pa.array([items[k].key for _, k in best], item_arrow), *(pa.array([v[i] for v in best.values()], pa.float64()) for i in (2, 0, 1)), batch.column(2).take(at)],
@@ -341,53 +412,10 @@ def _searcher(terms, sent, step, min_cosine, same, paraphrase, answered, id_col,
     return search
 
 
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    return ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
-
-
-def _pair_index(items: list[Item]) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacent words of all items, sorted, and whose they are."""
-    pairs = [np.unique(_pairs(np.array(i.words, np.uint32))) for i in items]
-    keys = np.concatenate([np.zeros(0, np.uint64), *pairs])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], np.repeat(np.arange(len(items)), [len(p) for p in pairs])[order]
-
-
-def _sharing(ids, first, paired, owners, sizes):
-    """Row, item and bounds of every stretch about adjacent words that an item has too: all that a check from there can reach."""
-    keys = _pairs(ids)
-    lo = np.searchsorted(paired, keys)
-    at = np.flatnonzero(np.append(paired, np.uint64(0))[lo] == keys) if len(paired) else lo[:0]
-    row = np.searchsorted(first, at, side="right") - 1
-    inside = at + 1 < first[row + 1]
-    at, row = at[inside], row[inside]
-    lo, n = lo[at], np.searchsorted(paired, keys[at], side="right") - lo[at]
-    item = owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    at, row = np.repeat(at, n), np.repeat(row, n)
-    # one stretch for the places within half an item
-    width = np.maximum(1, sizes[item] // 2)
-    place = (at - first[row]) // width
-    _, one = np.unique((row * len(sizes) + item) * (len(ids) + 1) + place, return_index=True)
-    row, item, width, place = row[one], item[one], width[one], place[one]
-    reach = -(-sizes[item] * 13 // 10)
-    begin = first[row] + place * width
-    return row, item, np.maximum(begin - reach, first[row]), np.minimum(begin + width + reach, first[row + 1])
-
-
-def _promising(ids, lo, hi, member, k, lengths, share):
-    """Indices of candidates whose reach holds ``share`` of the item's distinct words, at least by term."""
-    terms = (ids & (TERMS - 1)).astype(np.int32)
-    width = int((hi - lo).max()) if len(lo) else 0
-    flat, wanted = member.reshape(-1), share * 0.9 * lengths
-    for at in range(0, len(lo), 8192):
-        l, h, item = lo[at : at + 8192], hi[at : at + 8192], k[at : at + 8192]
-        count = np.zeros(len(l), np.int16)
-        for j in range(width):
-            count += flat[terms[np.minimum(l + j, h - 1)] + item * TERMS] & (l + j < h)
-        # repeats count above, so this is a bound; the few that reach it are counted by distinct terms
-        for c in np.flatnonzero(count >= wanted[item]).tolist():
-            if member[item[c], np.unique(terms[l[c] : h[c]])].sum() >= wanted[item[c]]:
-                yield at + c
+def judged(item: Item, words: list[int], paraphrase: float) -> tuple[float, float]:
+    """Share of the item, and of its answer if the item's is ``paraphrase``, that is a common subsequence with ``words``."""
+    lcs = common_subsequence(item.words, words) / len(item.words)
+    return lcs, common_subsequence(item.answer, words) / len(item.answer) if lcs >= paraphrase - 1e-9 else 0.0
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import multiprocessing
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import duckdb
@@ -14,9 +15,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.control import errors
-from tidemark.control.commit import Log, with_transaction
+from tidemark.control.commit import EVERY, Log, Rollback, with_transaction
+from tidemark.control.files import Files
 from tidemark.control.lease import Leases
 from tidemark.control.migrate import migrate, namespace
+from tidemark.control.session import abortable, session
+from tidemark.control.stores import CheckpointStore, HistoryStore, KvStore
 from tidemark.functions import values
 from tidemark.operators import archive, checkpoint, cursors, envelope, history, temporal
 from tidemark.plans import queries as plans
@@ -132,8 +136,15 @@ def test_checkpoint_round_trip(spark):
     j = chunks.select("w", "net", "seq", "position", "hash")
     pool = checkpoint.chunk_pool(chunks.withColumn("created_at", F.lit(T)))
     man = checkpoint.manifests(p, j).withColumn("complete", F.lit(True))
-    got = {r.seq: bytes(r.data) for r in checkpoint.reassemble(j, pool).collect()}
-    assert got == {i + 1: x for i, x in enumerate(data) if x}
+    got = {r.seq: (bytes(r.data), r.problem) for r in checkpoint.reassemble(man, j, pool).collect()}
+    assert got == {i + 1: (x, None) for i, x in enumerate(data)}
+    # what can't be put together has no data and says why
+    lost, hurt = hashlib.sha256(b"a" * 10).hexdigest(), hashlib.sha256(b"abc").hexdigest()
+    broken = pool.where(F.col("hash") != lost).withColumn("data", F.when(F.col("hash") == hurt, F.lit("abd").cast("binary")).otherwise(F.col("data")))
+    bad = {r.seq: (r.data, r.problem) for r in checkpoint.reassemble(man, j, broken).collect() if r.problem}
+    assert bad == {2: (None, "chunk_hash"), 3: (None, "chunk_missing"), 4: (None, "chunk_missing"), 6: (None, "chunk_hash")}
+    gap = j.where("not (seq = 5 and position = 3)")
+    assert {r.seq: r.problem for r in checkpoint.reassemble(man, gap, pool).collect() if r.problem} == {5: "density"}
     for r in man.collect():
         x = data[r.seq - 1]
         hashes = [hashlib.sha256(x[k : k + 10]).digest() for k in range(0, len(x), 10)]
@@ -239,9 +250,11 @@ def test_envelope_round_trip(spark):
     assert got == ["CORRUPT"] * 4 + ["VERSION_UNSUPPORTED"] + ["CORRUPT"] * 2
     own = frame.withColumns({"w": F.col("wallet_id"), "net": F.when(F.col("wallet_id") == "w1", "other").otherwise(F.col("network_id")), "seq": F.lit(1).cast("long")})
     chunks = envelope.save(own, 16)
-    assert {r.w for r in chunks.collect()} == {"w0", "w2"}
+    assert {r.w for r in chunks.collect()} == {"w0", "w2"} and [r.w for r in envelope.refused(own).collect()] == ["w1"]
     pool = checkpoint.chunk_pool(chunks.withColumn("created_at", F.lit(T)))
-    assert {r.problem for r in envelope.load(chunks.select("w", "net", "seq", "position", "hash"), pool).collect()} == {None}
+    j = chunks.select("w", "net", "seq", "position", "hash")
+    man = checkpoint.manifests(own, j).where("n_chunks > 0").withColumn("complete", F.lit(True))
+    assert {r.problem for r in envelope.load(man, j, pool).collect()} == {None}
 
 
 def test_commit_log(spark, tmp_path):
@@ -264,6 +277,191 @@ def test_commit_log(spark, tmp_path):
         tx.replace("a", rows(9))
     assert [r.i for r in log.read("a", "i int").collect()] == [9] and sorted(r.i for r in log.read("a", "i int", 2).collect()) == [1, 2, 4]
 
+    def taken_back(tx):
+        tx.append("a", rows(8))
+        raise Rollback("no")
+
+    with pytest.raises(errors.ERRORS["TRANSACTION_ROLLED_BACK"]):
+        with_transaction(log, taken_back)
+    with pytest.raises(errors.ERRORS["TRANSACTION_FAULT"]):
+        with_transaction(log, lambda tx: (time.sleep(0.05), tx.append("a", rows(8))), timeout=0.01)
+    # a writer that was overtaken is tried again on the new snapshot
+    tries = []
+
+    def overtaken(tx):
+        tries.append(tx.base)
+        if len(tries) == 1:
+            with_transaction(log, lambda other: other.append("b", rows(1)))
+        tx.append("b", rows(len(tries)))
+
+    with_transaction(log, overtaken, retries=2)
+    assert tries == [3, 4] and sorted(r.i for r in log.read("b", "i int").collect()) == [1, 2, 7]
+    log.files.probe()
+
+
+def test_snapshots_of_a_long_log(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log")
+    for n in range(2 * EVERY + 3):
+        with log.transaction(app="x", batch=n) as tx:
+            tx.changes["t"] = {"add": [f"data/t/{n}"], "remove": [f"data/t/{n - 2}"]}
+    assert len(log.files.names("snapshots")) == 2
+    fresh = Log(spark, f"file://{tmp_path}/log")
+    read, fresh.files.read = [], lambda name, own=fresh.files.read: (read.append(name), own(name))[1]
+    assert fresh.version() == 2 * EVERY + 3 and fresh.last_batch("x") == 2 * EVERY + 2 and fresh.last_batch("y") is None
+    assert fresh.folders("t") == [f"data/t/{2 * EVERY + 1}", f"data/t/{2 * EVERY + 2}"] and len(read) == 4
+    assert fresh.folders("t", 1) == ["data/t/0"]
+
+
+def test_only_one_writer_creates_a_file(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = Files(spark, f"file://{tmp_path}/f")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: files.create("sub/one", str(k)), range(16)))
+    assert won.count(True) == 1 and files.read("sub/one") == str(won.index(True)) and files.names("sub") == ["one"] and files.names("none") == []
+
+
+def test_stores(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log")
+    kv = KvStore(log)
+    batch = lambda *rows: spark.createDataFrame([("n", "s", k, v, i, e) for i, (k, v, e) in enumerate(rows)], "ns string, scope string, key string, value string, ord long, expected long")
+    kv.put(batch(("a", "1", 0), ("b", "1", None)), T)
+    for rows, at, code in (
+        ([("c", "1", None), ("a", "2", 0)], T + timedelta(1), "VERSION_CONFLICT"), ([("c", "1", 3)], T + timedelta(1), "VERSION_CONFLICT"), ([("a", "2", None)], T, "CLOCK_REGRESSION"),
+        ([("c", "1", None), ("c", "2", None)], T + timedelta(1), "TRANSACTION_KEY_REUSE"), ([("", "1", None)], T, "VALIDATION_FAILED"),
+    ):
+        with pytest.raises(errors.ERRORS[code]) as met:
+            kv.put(batch(*rows), at)
+        if rows[-1][2] == 0:
+            assert met.value.details == {"expected": 0, "actual": 1}
+    assert log.version() == 1  # nothing of a refused batch is there
+    kv.put(batch(("a", "2", 1)), T + timedelta(1))
+    assert {(r.key, r.value, r.version) for r in kv.current().collect()} == {("a", "2", 2), ("b", "1", 1)}
+
+    store = CheckpointStore(log)
+    payloads = spark.createDataFrame([("w", "n", bytearray(b"a" * 25), 1), ("w", "n", bytearray(b""), 2), ("v", "n", bytearray(b"a" * 10), 3)], "w string, net string, data binary, ord long")
+    sets = spark.createDataFrame([("k", "w", '{"height":2}', T, 1)], "kind string, key string, value string, updated_at timestamp, ord long")
+    store.save_and_advance(payloads, sets, T, chunk_size=10, label="x")
+    assert log.version() == 3
+    store.save(payloads, T + timedelta(hours=1), chunk_size=10)
+    man, junction, pool = store.tables()
+    assert sorted((r.w, r.seq, r.n_chunks, r.bytes) for r in man.collect()) == [("v", 1, 1, 10), ("v", 2, 1, 10), ("w", 1, 3, 25), ("w", 2, 0, 0), ("w", 3, 3, 25), ("w", 4, 0, 0)]
+    assert log.read("chunks", "hash string").count() == 2 and {r.created_at for r in pool.collect()} == {T + timedelta(hours=1)}
+    assert checkpoint.verify(man, junction, pool).count() == 0 and [r.value for r in store.cursors().collect()] == ['{"height":2}']
+    assert {(r.w, r.seq): bytes(r.data) for r in store.load().collect()} == {("w", 4): b"", ("v", 2): b"a" * 10}
+    assert store.prune(1, T + timedelta(days=1)) == 4 and log.read("chunks", "hash string").count() == 1
+    with pytest.raises(errors.ERRORS["VALIDATION_FAILED"]):
+        store.save_and_advance(payloads, sets.withColumn("value", F.lit(None).cast("string")), T)
+    with pytest.raises(errors.ERRORS["VALIDATION_FAILED"]):
+        store.save(payloads, T, chunk_size=0)
+    assert store.tables()[0].count() == 2
+
+    past = HistoryStore(log)
+    entry = lambda h, ids, fees=None: spark.createDataFrame([("w", h, ids, fees, 1)], "wallet_id string, hash string, identifiers array<string>, fees string, ord long")
+    past.got_pending(entry("h1", ["a"], "5"))
+    past.got_pending(entry("h2", ["z"]))
+    past.got_finalized(entry("h3", ["a", "b"]))
+    past.got_rejected(entry("h2", ["y"]))
+    assert [(r.hash, r.lifecycle, list(r.identifiers)) for r in past.entries().orderBy("hash").collect()] == [("h2", "rejected", ["y", "z"]), ("h3", "finalized", ["a", "b"])]
+
+
+def test_flips_against_a_replay(spark):
+    rng = random.Random(12)
+    blocks = spark.createDataFrame([("n", h, b) for h in range(30) for b in "abc"], "net string, height long, block_hash string")
+    flips = [("n", rng.randrange(30), rng.choice("abcd"), rng.choice([None, None, False, True]), i) for i in range(300)]
+    state, refused = {}, {}
+    for _, h, b, f, i in flips:
+        now = state.setdefault(h, {"winner": None, "final": set(), "was": set()})
+        if b == "d":
+            refused[i] = "unknown"
+        elif now["winner"] not in (None, b) and now["winner"] in now["final"]:
+            refused[i] = "displaces"
+        elif b in now["final"] and f is False:
+            refused[i] = "unfinalizes"
+        else:
+            now["winner"] = b
+            now["was"].add(b)
+            now["final"] |= {b} if f else set()
+    frame = spark.createDataFrame(flips, "net string, height long, block_hash string, finalized boolean, ord long")
+    assert {r.ord: r.refused for r in archive.refused_flips(blocks, frame).collect()} == refused and set(refused.values()) == {"unknown", "displaces", "unfinalizes"}
+    out = archive.canonical(blocks, frame)
+    for r in out.collect():
+        now = state.get(r.height, {"winner": None, "final": set(), "was": set()})
+        status = "canonical" if now["winner"] == r.block_hash else "orphaned" if r.block_hash in now["was"] else "seen"
+        assert (r.is_canonical, r.status, r.finalized) == (status == "canonical", status, r.block_hash in now["final"])
+    assert archive.inconsistent_status(out).count() == archive.several_canonical(out).count() == 0
+
+
+def test_deep_ancestry_and_forks(spark):
+    chain = [("n", f"b{i}", f"b{i - 1}" if i else None, i) for i in range(700)] + [("n", "x", "b300", 301), ("m", "b699", "gone", 5)]
+    blocks = spark.createDataFrame(chain, "net string, block_hash string, parent_hash string, height long")
+    heads = spark.createDataFrame([("n", "b650"), ("n", "x"), ("m", "b699"), ("n", "no'ne")], "net string, block_hash string")
+    got = {}
+    for r in archive.ancestry(blocks, heads, 500).collect():
+        got.setdefault((r.net, r["head"]), []).append((r.steps, r.block_hash))
+    assert sorted(got["n", "b650"]) == [(k, f"b{650 - k}") for k in range(501)]
+    assert sorted(got["n", "x"]) == [(0, "x")] + [(k + 1, f"b{300 - k}") for k in range(301)] and got["m", "b699"] == [(0, "b699")] and len(got) == 3
+
+
+def test_rollover(spark, tmp_path):
+    landing = spark.createDataFrame([("n", h, f"b{h}") for h in range(120, 380)], "net string, height long, block_hash string")
+    path = f"file://{tmp_path}/blocks"
+    for bad in ((50, 400, 100), (400, 100, 100), (100, 300, 100), (200, 400, 100), (True, 400, 100)):
+        with pytest.raises(errors.ERRORS["VALIDATION_FAILED"]):
+            archive.rollover(landing, path, *bad)
+    assert archive.rollover(landing, path, 100, 400, 100) == 260 and archive.rollover(landing.where("height < 200"), path, 100, 200, 100) == 80
+    there = spark.read.parquet(path)
+    assert there.count() == 260 and sorted(r.bucket for r in there.select("bucket").distinct().collect()) == [1, 2, 3]
+
+
+def test_strict_log_and_create_conflicts(spark):
+    at = [0, 2, 2, 1, 3, 3, 9]
+    log = spark.createDataFrame([("n", "s", "k", str(i), T + timedelta(seconds=t), i, i, None) for i, t in enumerate(at)], PUTS)
+    assert sorted(r.ord for r in temporal.strict(log, 2).collect()) == [0, 1, 4, 6]
+    v = temporal.versions(temporal.strict(log))
+    assert v.where("valid_from >= valid_to").count() == 0 and temporal.clock_regressions(temporal.strict(log)).count() == 0
+    more = puts(spark, [("k", "x", None), ("new", "1", None), ("new", "2", None)])
+    assert {(r.key, r.ord, r.actual) for r in temporal.create_conflicts(log, more).collect()} == {("k", 0, 7), ("new", 2, 1)}
+    whole = temporal.versions(log, with_last=True)
+    assert temporal.prune_prefix(whole, 3).count() == temporal.prune_prefix(whole.drop("last_version"), 3).count() == 4
+
+
+def test_large_versions_stay_exact(spark):
+    big = (1 << 53) + 1
+    ops = spark.createDataFrame([("n", "s", "k", "v", T, 0, 0, big)], PUTS)
+    r = temporal.cas_replay(ops).first()
+    assert (r.ok, r.version, r.actual) == (False, 0, None)
+
+
+def test_cursor_far_ahead_costs_no_steps(spark):
+    c = spark.createDataFrame([("k", "a", 10**12), ("k", "b", 3), ("k", "c", 0)], "kind string, key string, height long")
+    done = spark.createDataFrame([("k", "a", 1), ("k", "a", 5), ("k", "a", 5), ("k", "a", 4 * 10**6), ("k", "b", 1), ("k", "b", 2), ("k", "b", 3), ("k", "b", 7)], "kind string, key string, height long")
+    assert sorted((r.key, r.low, r.high) for r in cursors.ahead_of_data(c, done).collect()) == [("a", 2, 4), ("a", 6, 4 * 10**6 - 1), ("a", 4 * 10**6 + 1, 10**12)]
+
+
+def test_transactions_meet_their_own_fork(spark):
+    blocks = spark.createDataFrame([("n", 5, "aa", ["0xff01ee"]), ("n", 5, "bb", ["0x00"])], "net string, height long, block_hash string, extrinsics array<string>")
+    indexed = spark.createDataFrame([(5, "0xAA", [("h1", 1, "0x01"), ("h2", 1, "0x02")]), (5, "0xcc", [("h3", 1, "0x01")])], "height long, hash string, transactions array<struct<hash:string,protocolVersion:int,raw:string>>")
+    got = {r.tx_hash: r.problem for r in archive.transaction_records(blocks, indexed, "sys:").collect()}
+    assert got == {"h1": None, "h2": "not in block body", "h3": "hash mismatch"}
+
+
+def test_abortable(spark):
+    from threading import Event, Timer
+
+    gone = Event()
+    gone.set()
+    with pytest.raises(errors.ERRORS["TRANSACTION_ROLLED_BACK"]):
+        abortable(spark, gone, lambda: 1)
+    signal = Event()
+    assert abortable(spark, signal, lambda: spark.range(5).count()) == 5
+    Timer(1.0, signal.set).start()
+    began = time.monotonic()
+    with pytest.raises(errors.ERRORS["TRANSACTION_ROLLED_BACK"]):
+        abortable(spark, signal, lambda: spark.range(1 << 40).selectExpr("sum(hash(id))").collect())
+    assert time.monotonic() - began < 30 and spark.range(3).count() == 3
+    assert session().conf.get("spark.sql.session.timeZone") == "UTC"
+
 
 def _hold(folder, ready, done):
     leases = Leases(folder)
@@ -331,7 +529,7 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
     blocks = log.read("blocks", ingest.BLOCKS)
     assert sorted(r.height for r in blocks.collect()) == [0, 1, 2, 4, 5, 6]
     before = log.version()
-    assert ingest.commit_batch(log, chain_rpc.node_blocks(spark, f"file://{source}"), 0, "n") is False and log.version() == before
+    assert ingest.commit_batch(log, chain_rpc.node_blocks(spark, f"file://{source}"), 0, "n", f"ingest n file://{tmp_path}/cp") is False and log.version() == before
     # a lost offset log replays everything: the data stay as they are, and a cursor never leads its data
     ingest.ingest(spark, f"file://{source}", log, f"file://{tmp_path}/cp2", "n").awaitTermination()
     assert log.read("blocks", ingest.BLOCKS).count() == 6

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..control.errors import raise_error
+from ..control.files import Files, shared_dir
 from .fold import ordered_fold
 
 BLOCK = ["net", "height", "block_hash"]
 BUCKET = 1_000_000
 #: Allowed values (fixed values).
 ROLES = ("block_header", "block_body", "tx_raw", "bridge_observation", "verifier_key", "proof")
-TX_KINDS, STATUSES = ("regular", "system"), ("canonical", "orphaned", "pending", "pruned")
+TX_KINDS, STATUSES = ("regular", "system"), ("seen", "canonical", "orphaned", "pruned")
 
 
 def bucket_of(height: Column, size: int = BUCKET) -> Column:
@@ -44,10 +46,11 @@ def put_blobs(batch: DataFrame, blobs: DataFrame | None = None, roles: DataFrame
     return new, wanted.join(roles, ["blob_hash", "role"], "left_anti") if roles is not None else wanted
 
 
-def put_transactions(batch: DataFrame, order: list[str]) -> DataFrame:
-    """Transactions of new blocks that inserts in order keep: a row goes if its hash or its position is already in its block.
+def put_transactions(batch: DataFrame, order: list[str], stored: DataFrame | None = None) -> DataFrame:
+    """Transactions that inserts in order keep: a row goes if its hash or its position is already in its block.
 
-    A row that loses by one key doesn't hold the other, so a block's rows are folded in order.
+    A row that loses by one key doesn't hold the other, so a block's rows are folded in order, after those ``stored`` in the
+    batch's blocks.
     """
     names = batch.columns
 
@@ -56,17 +59,26 @@ def put_transactions(batch: DataFrame, order: list[str]) -> DataFrame:
             return []
         state["hashes"].add(row.tx_hash)
         state["positions"].add(row.position)
-        return [tuple(row)]
+        return [] if row.is_stored else [tuple(row)[:-1]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-    return ordered_fold(batch.select(*names), BLOCK, order, lambda: {"hashes": set(), "positions": set()}, step, schema)
+    rows = batch.select(*names).withColumn("is_stored", F.lit(False))
+    if stored is not None:
+        held = stored.join(batch.select(*BLOCK).distinct(), BLOCK, "left_semi").select(*names).withColumn("is_stored", F.lit(True))
+        rows = held.unionByName(rows)
+    return ordered_fold(rows.withColumn("is_new", ~F.col("is_stored")), BLOCK, ["is_new", *order], lambda: {"hashes": set(), "positions": set()}, step, schema, drop=["is_new"])
 
 
-def put_bundle(tx, blocks: DataFrame, transactions: DataFrame, observations: DataFrame) -> None:
-    """All three in one commit of a :class:`~tidemark.control.commit.Transaction`; a retry of the same bundle adds nothing."""
-    for name, rows, key in (("blocks", blocks, BLOCK), ("transactions", transactions, [*BLOCK, "tx_hash"]), ("observations", observations, [*BLOCK, "observation_index"])):
-        stored = tx.log.read(name, rows.schema, tx.base)
-        tx.append(name, rows.join(stored.select(*key), key, "left_anti"))
+def put_bundle(tx, blocks: DataFrame, transactions: DataFrame, observations: DataFrame, order: str = "ord") -> None:
+    """All three in one commit of a :class:`~tidemark.control.commit.Transaction`; a retry of the same bundle adds nothing.
+
+    Each insert is first-write-wins against what is stored and within the batch, in ``order``: blocks by block, transactions by
+    hash and by position, observations by index.
+    """
+    tx.append("blocks", first_wins(blocks, BLOCK, [order], tx.read("blocks", blocks.schema)).select(*blocks.columns))
+    tx.append("transactions", put_transactions(transactions, [order], tx.read("transactions", transactions.schema)))
+    key = [*BLOCK, "observation_index"]
+    tx.append("observations", first_wins(observations, key, [order], tx.read("observations", observations.schema)).select(*observations.columns))
 
 
 def verifier_keys(seen: DataFrame) -> DataFrame:
@@ -74,24 +86,43 @@ def verifier_keys(seen: DataFrame) -> DataFrame:
     return seen.groupBy("vk_hash", "net", "scope", "contract_address", "tag").agg(F.min("first_seen_height").alias("first_seen_height"))
 
 
+def judged_flips(blocks: DataFrame, flips: DataFrame) -> DataFrame:
+    """Flips (``net, height, block_hash, finalized, ord``) with ``refused``: null, or why the archive doesn't take them.
+
+    ``unknown``: there is no such block. ``displaces``: another block of the height is final. ``unfinalizes``: it would take back the
+    block's own finality. The first finalising flip of a height settles it, so no replay is needed to tell.
+    """
+    known = flips.join(blocks.select(*BLOCK).distinct().withColumn("_known", F.lit(True)), BLOCK, "left")
+    final = known.where("_known and finalized").groupBy("net", "height").agg(F.min_by("block_hash", "ord").alias("_winner"), F.min("ord").alias("_at"))
+    later = F.col("ord") > F.col("_at")
+    refused = (
+        F.when(F.col("_known").isNull(), "unknown")
+        .when(later & (F.col("block_hash") != F.col("_winner")), "displaces")
+        .when(later & ~F.col("finalized"), "unfinalizes")
+    )
+    return known.join(final, ["net", "height"], "left").select(*flips.columns, refused.alias("refused"))
+
+
 def canonical(blocks: DataFrame, flips: DataFrame) -> DataFrame:
-    """Blocks with ``is_canonical, status, finalized`` after all flips (``net, height, block_hash, finalized, ord``).
+    """Blocks with ``is_canonical, status, finalized`` after all flips that aren't refused.
 
-    The last flip of a height wins; ``finalized`` keeps its last given value. Flips of unknown blocks are in
-    :func:`unknown_flips` and change nothing here.
+    The last flip of a height wins and orphans the winner before; a final block is never displaced. What is refused is in
+    :func:`refused_flips`.
     """
-    known = flips.join(blocks.select(*BLOCK), BLOCK, "left_semi")
-    winner = known.groupBy("net", "height").agg(F.max_by("block_hash", "ord").alias("winner"))
-    final = known.where("finalized is not null").groupBy(*BLOCK).agg(F.max_by("finalized", "ord").alias("finalized"))
-    flipped = known.select(*BLOCK, F.lit(True).alias("flipped")).distinct()
-    out = blocks.drop("is_canonical", "status", "finalized").join(winner, ["net", "height"], "left").join(final, BLOCK, "left").join(flipped, BLOCK, "left")
+    taken = judged_flips(blocks, flips).where("refused is null")
+    winner = taken.groupBy("net", "height").agg(F.max_by("block_hash", "ord").alias("winner"), F.max(F.coalesce("finalized", F.lit(False))).alias("is_final"))
+    flipped = taken.select(*BLOCK, F.lit(True).alias("flipped")).distinct()
+    out = blocks.drop("is_canonical", "status", "finalized").join(winner, ["net", "height"], "left").join(flipped, BLOCK, "left")
     is_canonical = F.coalesce(F.col("winner") == F.col("block_hash"), F.lit(False))
-    status = F.when(is_canonical, "canonical").when(F.col("winner").isNotNull() & F.coalesce("flipped", F.lit(False)), "orphaned").otherwise("pending")
-    return out.select(*[c for c in blocks.columns if c not in ("is_canonical", "status", "finalized")], is_canonical.alias("is_canonical"), status.alias("status"), F.coalesce("finalized", F.lit(False)).alias("finalized"))
+    status = F.when(is_canonical, "canonical").when(F.col("flipped"), "orphaned").otherwise("seen")
+    return out.select(
+        *[c for c in blocks.columns if c not in ("is_canonical", "status", "finalized")], is_canonical.alias("is_canonical"), status.alias("status"),
+        (is_canonical & F.coalesce("is_final", F.lit(False))).alias("finalized"),
+    )
 
 
-def unknown_flips(blocks: DataFrame, flips: DataFrame) -> DataFrame:
-    return flips.join(blocks.select(*BLOCK), BLOCK, "left_anti")
+def refused_flips(blocks: DataFrame, flips: DataFrame) -> DataFrame:
+    return judged_flips(blocks, flips).where("refused is not null")
 
 
 def blocks_at(blocks: DataFrame, net: str, height: int) -> DataFrame:
@@ -187,16 +218,24 @@ def block_records(node: DataFrame, net: str) -> DataFrame:
 def transaction_records(blocks: DataFrame, indexed: DataFrame, system_tag: str) -> DataFrame:
     """Transactions of indexer blocks (``height, hash, transactions``) joined to node blocks, with ``problem`` where they disagree.
 
-    A raw payload that starts with ``system_tag`` is a system transaction; any other must lie within one of the block's extrinsics.
+    A block is met by height and hash, so forks don't disturb one another; without one the hashes disagree. A raw payload that starts
+    with ``system_tag`` is a system transaction; any other must lie within one of the block's extrinsics, which are searched
+    before the transactions become rows.
     """
-    rows = indexed.select(F.col("height"), no_prefix(F.col("hash")).alias("indexer_hash"), F.posexplode("transactions").alias("position", "t"))
-    both = rows.join(blocks.select("net", "height", "block_hash", "extrinsics"), "height")
-    raw = no_prefix(F.col("t.raw"))
-    kind = F.when(F.startswith(raw, F.lit(system_tag.encode().hex())), "system").otherwise("regular")
-    inside = F.exists("extrinsics", lambda e: F.contains(no_prefix(e), raw))
-    problem = F.when(F.col("indexer_hash") != F.col("block_hash"), "hash mismatch").when((kind == "regular") & ~inside, "not in block body")
-    return both.select(
-        "net", no_prefix(F.col("t.hash")).alias("tx_hash"), "height", "block_hash", "position", kind.alias("kind"), F.col("t.protocolVersion").alias("protocol_version"), raw.alias("raw"), problem.alias("problem")
+    seen = indexed.select("height", no_prefix(F.col("hash")).alias("block_hash"), "transactions")
+    both = seen.join(blocks.select("net", "height", "block_hash", "extrinsics"), ["height", "block_hash"], "left")
+
+    def record(t: Column, position: Column) -> Column:
+        raw = no_prefix(t["raw"])
+        kind = F.when(F.startswith(raw, F.lit(system_tag.encode().hex())), "system").otherwise("regular")
+        inside = F.exists("extrinsics", lambda e: F.contains(no_prefix(e), raw))
+        problem = F.when(F.col("net").isNull(), "hash mismatch").when((kind == "regular") & ~inside, "not in block body")
+        return F.struct(
+            no_prefix(t["hash"]).alias("tx_hash"), position.cast("int").alias("position"), kind.alias("kind"), t["protocolVersion"].alias("protocol_version"), raw.alias("raw"), problem.alias("problem")
+        )
+
+    return both.select("net", "height", "block_hash", F.inline(F.transform("transactions", record))).select(
+        "net", "tx_hash", "height", "block_hash", "position", "kind", "protocol_version", "raw", "problem"
     )
 
 
@@ -275,17 +314,45 @@ def json_decoder(raw: bytes) -> dict:
     return json.loads(raw)
 
 
-def ancestry(blocks: DataFrame, net: str, block_hash: str, depth: int) -> DataFrame:
-    """A block and up to ``depth`` ancestors along parent hashes, by a recursive query."""
-    spark = blocks.sparkSession
-    # each step of the recursion reads the blocks again
-    blocks.where(F.col("net") == net).select("height", "block_hash", "parent_hash").cache().createOrReplaceTempView("ancestry_blocks")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(height, block_hash, parent_hash, steps) AS (
-            SELECT height, block_hash, parent_hash, 0 FROM ancestry_blocks WHERE block_hash = '{block_hash}'
-            UNION ALL
-            SELECT b.height, b.block_hash, b.parent_hash, up.steps + 1 FROM up JOIN ancestry_blocks b ON b.block_hash = up.parent_hash WHERE up.steps < {int(depth)}
-        ) SELECT * FROM up
-        """
-    )
+def ancestry(blocks: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
+    """Each of ``heads`` (``net, block_hash``) and up to ``depth`` ancestors along parent hashes: ``net, head, height, block_hash, steps``.
+
+    By pointer doubling: after k rounds every block knows its 2**k-th ancestor, so the number of joins grows with the logarithm of the
+    depth. Rounds are checkpointed in the shared folder.
+    """
+    shared_dir(blocks.sparkSession)
+    up = blocks.select("net", "block_hash", F.col("parent_hash").alias("up"))
+    found = heads.select("net", F.col("block_hash").alias("head"), "block_hash", F.lit(0).alias("steps"))
+    reach = 1
+    while reach <= depth:
+        above = found.join(up, ["net", "block_hash"]).where(f"up is not null and steps + {reach} <= {depth}").select("net", "head", F.col("up").alias("block_hash"), (F.col("steps") + reach).alias("steps"))
+        found = found.unionByName(above).checkpoint()
+        reach *= 2
+        if reach <= depth:
+            up = up.join(up.select("net", F.col("block_hash").alias("up"), F.col("up").alias("up_up")), ["net", "up"]).where("up_up is not null").select("net", "block_hash", F.col("up_up").alias("up")).checkpoint()
+    return found.join(blocks.select("net", "block_hash", "height"), ["net", "block_hash"]).select("net", "head", "height", "block_hash", "steps")
+
+
+def rollover(landing: DataFrame, path: str, low: int, high: int, size: int = BUCKET) -> int:
+    """Moves a landing table's rows of the buckets from ``low`` to ``high`` into the partitioned table at ``path``; their number.
+
+    The bounds must be whole buckets that span all of the landing's heights. Only the buckets' partitions are written, rows already
+    there included, so running it again changes nothing.
+    """
+    whole = all(isinstance(x, int) and not isinstance(x, bool) for x in (low, high))
+    if not whole or not 0 <= low < high or low % size or high % size:
+        raise_error("VALIDATION_FAILED", f"{low!r} to {high!r} aren't whole buckets of {size}")
+    spark = landing.sparkSession
+    least, most, n = landing.agg(F.min("height"), F.max("height"), F.count("*")).first()
+    if n and (least < low or most >= high):
+        raise_error("VALIDATION_FAILED", f"heights {least} to {most} aren't all from {low} to {high}", low=least, high=most)
+    rows = landing.withColumn("bucket", bucket_of(F.col("height"), size))
+    files = Files(spark, path)
+    if any(name.startswith("net=") for name in files.names(".")):
+        there = spark.read.schema(rows.schema).parquet(files.folder).where(F.col("bucket").between(low // size, (high - 1) // size))
+        rows = there.select(*rows.columns).unionByName(rows).distinct()
+    kept = f"{shared_dir(spark)}/rollover-{uuid.uuid4().hex}"
+    rows.write.parquet(kept)  # a table isn't overwritten while it is read
+    spread = spark.read.schema(rows.schema).parquet(kept).repartition("net", "bucket").sortWithinPartitions("net", "bucket", "height")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("net", "bucket").parquet(files.folder)
+    return n

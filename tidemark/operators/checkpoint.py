@@ -41,7 +41,7 @@ def split(payloads: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
 
 def chunk_pool(chunks: DataFrame, created: str = "created_at") -> DataFrame:
     """One row per hash: any of its equal data, the latest ``created_at`` (saving again refreshes the clock)."""
-    return chunks.groupBy("hash").agg(F.first("data").alias("data"), F.max(created).alias("created_at"), F.first("size_bytes").alias("size_bytes"))
+    return chunks.groupBy("hash").agg(F.any_value("data").alias("data"), F.max(created).alias("created_at"), F.any_value("size_bytes").alias("size_bytes"))
 
 
 def manifest_hash(hashes) -> F.Column:
@@ -82,11 +82,23 @@ def load(man: DataFrame, seq: int | None = None) -> DataFrame:
     return best.select(*OWNER, *[F.col(f"m.{c}").alias(c) for c in others])
 
 
-def reassemble(junction: DataFrame, pool: DataFrame) -> DataFrame:
-    """Each manifest's payload; chunk rows in position order, joined. Raise on what :func:`verify` lists first."""
-    rows = junction.join(pool.select("hash", "data"), "hash", "left")
-    parts = F.array_sort(F.collect_list(F.struct("position", F.hex("data").alias("x"))))
-    return rows.groupBy(*OWNER, "seq").agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["x"]), "")).alias("data"))
+def reassemble(man: DataFrame, junction: DataFrame, pool: DataFrame) -> DataFrame:
+    """``w, net, seq, data, problem`` of each complete manifest: its chunks in position order, as one binary.
+
+    An empty manifest has empty data. Where a position or a chunk is missing, or a chunk's hash is wrong, ``data`` is null and
+    ``problem`` says so, as in :func:`verify`. Each chunk is rehashed once, before the join.
+    """
+    there = pool.select("hash", "data", (F.sha2("data", 256) == F.col("hash")).alias("_intact"))
+    rows = junction.join(there, "hash", "left")
+    per = rows.groupBy(*OWNER, "seq").agg(
+        F.expr("listagg(data) within group (order by position)").alias("_data"), F.count("*").alias("_n"), F.count_distinct("position").alias("_d"), F.min("position").alias("_low"),
+        F.max("position").alias("_top"), F.count_if(F.col("_intact").isNull()).alias("_missing"), F.count_if(~F.col("_intact")).alias("_broken"),
+    )
+    out = man.where("complete").select(*OWNER, "seq", "n_chunks").join(per, [*OWNER, "seq"], "left")
+    n = F.coalesce("_n", F.lit(0))
+    dense = (n == F.col("n_chunks")) & ((n == 0) | ((F.col("_d") == n) & (F.col("_low") == 0) & (F.col("_top") + 1 == n)))
+    problem = F.when(~dense, "density").when(F.col("_missing") > 0, "chunk_missing").when(F.col("_broken") > 0, "chunk_hash")
+    return out.select(*OWNER, "seq", F.when(problem.isNull(), F.coalesce("_data", F.lit("").cast("binary"))).alias("data"), problem.alias("problem"))
 
 
 def verify(man: DataFrame, junction: DataFrame, pool: DataFrame) -> DataFrame:

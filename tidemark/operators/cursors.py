@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..control.errors import raise_error
@@ -41,13 +41,12 @@ def height_of(value):
 def monotone(sets: DataFrame) -> DataFrame:
     """Cursors whose sets are dropped unless their numeric height exceeds the stored numeric one; others win by time.
 
-    Where all heights of all cursors are numbers this is the first set of the largest height, an aggregate; else an
-    ordered fold that streams through sorted rows.
+    Where all heights of a cursor are numbers this is the first set of the largest height, an aggregate; the other cursors go
+    through an ordered fold that streams through sorted rows.
     """
     rows = sets.where("value is not null").withColumn("h", height_of("value"))
-    if not rows.where("h is null").limit(1).count():
-        best = F.max_by(F.struct("value", "updated_at"), F.struct("h", (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("t"), (-F.col("ord")).alias("o")))
-        return rows.groupBy(*CURSOR).agg(best.alias("b")).select(*CURSOR, "b.value", "b.updated_at")
+    best = F.max_by(F.struct("value", "updated_at"), F.struct("h", (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("t"), (-F.col("ord")).alias("o")))
+    by_key = rows.groupBy(*CURSOR).agg(best.alias("b"), F.max(F.col("h").isNull()).alias("odd"))
 
     def step(state, row):
         new = None if row.h is None else int(row.h)
@@ -56,16 +55,27 @@ def monotone(sets: DataFrame) -> DataFrame:
             state.update(h=new, value=row.value, at=row.updated_at)
         return []
 
-    rows = rows.withColumn("h", F.col("h").cast("string"))
-    return ordered_fold(
-        rows, CURSOR, ["updated_at", "ord"], dict, step, "kind string, key string, value string, updated_at timestamp", lambda s, key: [(*key, s["value"], s["at"])]
+    odd = rows.join(by_key.where("odd").select(*CURSOR), CURSOR, "left_semi").withColumn("h", F.col("h").cast("string"))
+    folded = ordered_fold(
+        odd, CURSOR, ["updated_at", "ord"], dict, step, "kind string, key string, value string, updated_at timestamp", lambda s, key: [(*key, s["value"], s["at"])]
     )
+    return by_key.where("not odd").select(*CURSOR, "b.value", "b.updated_at").unionByName(folded)
 
 
-def ahead_of_data(cursors: DataFrame, done: DataFrame) -> DataFrame:
-    """Steps 1 to each cursor's height that ``done`` (``kind, key, height``) lacks. A cursor must never be ahead."""
-    need = cursors.where("height > 0").select(*CURSOR, F.explode(F.sequence(F.lit(1).cast("long"), F.col("height").cast("long"))).alias("height"))
-    return need.join(done, [*CURSOR, "height"], "left_anti")
+def ahead_of_data(cursors: DataFrame, done: DataFrame, bucket: int = 1_000_000) -> DataFrame:
+    """``kind, key, low, high``: runs of steps from 1 to each cursor's height that ``done`` (``kind, key, height``) lacks.
+
+    A cursor must never be ahead. Steps are compared with the one before within buckets, the last of the bucket before
+    carried in: the work follows the rows of ``done``, not the heights.
+    """
+    own = cursors.where("height > 0").select(*CURSOR, F.col("height").cast("long").alias("top"))
+    steps = done.join(own, CURSOR).where("height between 1 and top").select(*CURSOR, F.col("height").cast("long").alias("height"))
+    steps = steps.unionByName(own.select(*CURSOR, (F.col("top") + 1).alias("height"))).withColumn("_b", F.floor(F.col("height") / bucket))
+    last = steps.groupBy(*CURSOR, "_b").agg(F.max("height").alias("_last"))
+    carried = last.select(*CURSOR, "_b", F.lag("_last", 1, 0).over(Window.partitionBy(*CURSOR).orderBy("_b")).alias("_in"))
+    within = F.lag("height").over(Window.partitionBy(*CURSOR, "_b").orderBy("height"))
+    seen = steps.withColumn("_own", within).join(carried, [*CURSOR, "_b"]).withColumn("_p", F.coalesce("_own", "_in"))
+    return seen.where("height > _p + 1").select(*CURSOR, (F.col("_p") + 1).alias("low"), (F.col("height") - 1).alias("high"))
 
 
 def state_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -44,14 +44,23 @@ def decode(rows: DataFrame, data: str = "data") -> DataFrame:
     return out.withColumns({"wallet_id": get("$.walletId"), "network_id": get("$.networkId"), **{s: get(f"$.subWallets.{s}") for s in SLOTS}})
 
 
+def _own() -> Column:
+    """Whether an envelope's identity is its owner's."""
+    return F.coalesce((F.col("w") == F.col("wallet_id")) & (F.col("net") == F.col("network_id")), F.lit(False))
+
+
 def save(rows: DataFrame, chunk_size: int = checkpoint.DEFAULT_CHUNK) -> DataFrame:
-    """Chunks of encoded envelopes (``w, net, seq`` and the fields); rows whose identity isn't their owner's are refused."""
-    own = rows.where((F.col("w") == F.col("wallet_id")) & (F.col("net") == F.col("network_id")))
-    return checkpoint.split(encode(own).select("w", "net", "seq", "data"), chunk_size)
+    """Chunks of encoded envelopes (``w, net, seq`` and the fields); the rows of :func:`refused` aren't saved."""
+    return checkpoint.split(encode(rows.where(_own())).select("w", "net", "seq", "data"), chunk_size)
+
+
+def refused(rows: DataFrame) -> DataFrame:
+    """Rows that :func:`save` leaves out: their identity isn't their owner's."""
+    return rows.where(~_own())
 
 
-def load(junction: DataFrame, pool: DataFrame) -> DataFrame:
-    """Decoded envelopes of manifests; one of another identity is ``CORRUPT``."""
-    out = decode(checkpoint.reassemble(junction, pool))
+def load(man: DataFrame, junction: DataFrame, pool: DataFrame) -> DataFrame:
+    """Decoded envelopes of manifests; one that doesn't load, or of another identity, is ``CORRUPT``."""
+    out = decode(checkpoint.reassemble(man, junction, pool).drop("problem"))
     other = F.col("problem").isNull() & ((F.col("wallet_id") != F.col("w")) | (F.col("network_id") != F.col("net")))
     return out.withColumn("problem", F.when(other, "CORRUPT").otherwise(F.col("problem")))

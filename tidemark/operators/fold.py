@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame
 
 def ordered_fold(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object], step: Callable[[object, object], list], schema: str,
-    finish: Callable[[object, tuple], list] | None = None,
+    finish: Callable[[object, tuple], list] | None = None, drop: Sequence[str] = (),
 ) -> DataFrame:
-    """``step(state, row)`` changes the state and gives output tuples; ``finish(state, key)`` gives more at a key's end."""
+    """``step(state, row)`` changes the state and gives output tuples; ``finish(state, key)`` gives more at a key's end.
+
+    Columns of ``drop`` only order the rows.
+    """
     names = list(keys)
 
     def run(batches):
@@ -36,7 +39,7 @@ def ordered_fold(
 
     columns = [f.split()[0].strip("`") for f in _fields(schema)]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).drop(*drop).mapInPandas(run, schema)
 
 
 def _fields(schema: str) -> list[str]:

@@ -49,37 +49,44 @@ def cleared(entries: DataFrame) -> DataFrame:
 def replay(commands: DataFrame) -> DataFrame:
     """Final entries after every command in order, with pending entries cleared at each finalise or reject.
 
-    A wallet's commands are streamed in order; the state is its live entries. A cleared hash seen again is a first write.
+    A wallet's commands are streamed in order; the state is its live entries, and which pending ones hold an identifier. A cleared
+    hash seen again is a first write. Facts and, where there is a ``sections`` column (a map of maps), sections are merged.
     """
 
     def step(state, row):
-        ids = [] if row.identifiers is None else list(dict.fromkeys(row.identifiers))
-        entry = state.get(row.hash)
+        entries, holders = state
+        entry = entries.get(row.hash)
         if entry is None:
-            entry = state[row.hash] = {"ids": ids, "kind": row.kind, "facts": {}}
-        else:
-            entry["ids"] += [i for i in ids if i not in entry["ids"]]
-            entry["kind"] = row.kind
+            entry = entries[row.hash] = {"ids": {}, "facts": {}, "sections": {}}
+        fresh = [i for i in (() if row.identifiers is None else row.identifiers) if i not in entry["ids"]]
+        entry["ids"].update(dict.fromkeys(fresh))
+        entry["kind"] = row.kind
         for c in facts:
             value = getattr(row, c)
             if value is not None and value == value:
                 entry["facts"].setdefault(c, value)
-        if row.kind in ("finalized", "rejected") and entry["ids"]:
-            final = set(entry["ids"])
-            for other in [h for h, e in state.items() if h != row.hash and e["kind"] == "pending" and e["ids"] and final.issuperset(e["ids"])]:
-                del state[other]
+        if with_sections and row.sections is not None:
+            for name, leaves in dict(row.sections).items():
+                entry["sections"].setdefault(name, {}).update(dict(leaves or {}))
+        for i in entry["ids"]:
+            (holders.setdefault(i, set()).add if row.kind == "pending" else holders.get(i, set()).discard)(row.hash)
+        if row.kind in ("finalized", "rejected"):
+            final = entry["ids"].keys()
+            for other in {h for i in final for h in holders.get(i, ())} - {row.hash}:
+                if entries[other]["ids"].keys() <= final:
+                    for i in entries.pop(other)["ids"]:
+                        holders[i].discard(other)
         return []
 
-    facts = [c for c in SCALARS if c in commands.columns]
-    rows = commands.select(*ENTRY, "ord", "kind", "identifiers", *[F.col(c).cast("string").alias(c) for c in facts])
+    facts, with_sections = [c for c in SCALARS if c in commands.columns], "sections" in commands.columns
+    extra = ["sections"] if with_sections else []
+    rows = commands.select(*ENTRY, "ord", "kind", "identifiers", *[F.col(c).cast("string").alias(c) for c in facts], *extra)
     schema = "wallet_id string, hash string, identifiers array<string>, lifecycle string" + "".join(f", {c} string" for c in facts)
-    finish = lambda state, key: [(key[0], h, sorted(e["ids"]), e["kind"], *(e["facts"].get(c) for c in facts)) for h, e in sorted(state.items())]
-    return ordered_fold(rows, ["wallet_id"], ["ord"], dict, step, schema, finish)
-
-
-def replay_with(commands: DataFrame, merge, start, schema: str, finish) -> DataFrame:
-    """A replay with the caller's own merge: ``merge(state, row)``, called in order within each wallet."""
-    return ordered_fold(commands, ["wallet_id"], ["ord"], start, lambda s, r: merge(s, r) or [], schema, finish)
+    schema += ", sections map<string,map<string,string>>" if with_sections else ""
+    finish = lambda state, key: [
+        (key[0], h, sorted(e["ids"]), e["kind"], *(e["facts"].get(c) for c in facts), *([e["sections"]] if with_sections else [])) for h, e in sorted(state[0].items())
+    ]
+    return ordered_fold(rows, ["wallet_id"], ["ord"], lambda: ({}, {}), step, schema, finish)
 
 
 def get_all(entries: DataFrame, wallet: str) -> DataFrame:

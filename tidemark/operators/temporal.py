@@ -19,20 +19,37 @@ from .fold import ordered_fold
 KEY = ["ns", "scope", "key"]
 
 
-def versions(puts: DataFrame, bucket: str = "DAY") -> DataFrame:
-    """``KEY, value, version, valid_from, valid_to``: versions 1, 2, ... by time; the live one has no ``valid_to``."""
+def versions(puts: DataFrame, bucket: str = "DAY", with_last: bool = False) -> DataFrame:
+    """``KEY, value, version, valid_from, valid_to``: versions 1, 2, ... by time; the live one has no ``valid_to``.
+
+    ``with_last`` adds ``last_version``, the key's greatest, from the bucket totals.
+    """
     log = puts.withColumn("_b", F.date_trunc(bucket, "written_at"))
     sums = log.groupBy(*KEY, "_b").agg(F.count("*").alias("_n"), F.min("written_at").alias("_first"))
     across = Window.partitionBy(*KEY).orderBy("_b")
     sums = sums.select(
-        *KEY, "_b", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(across).alias("_next")
-    )
+        *KEY, "_b", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(across).alias("_next"),
+        *([F.sum("_n").over(Window.partitionBy(*KEY)).alias("last_version")] if with_last else []),
+    )
     within = Window.partitionBy(*KEY, "_b").orderBy("written_at", "ord")
     ranked = log.withColumn("_rn", F.row_number().over(within)).withColumn("_lead", F.lead("written_at").over(within))
     out = ranked.join(sums, [*KEY, "_b"])
     return out.select(
-        *KEY, "value", (F.col("_base") + F.col("_rn")).cast("long").alias("version"), F.col("written_at").alias("valid_from"), F.coalesce("_lead", "_next").alias("valid_to")
-    )
+        *KEY, "value", (F.col("_base") + F.col("_rn")).cast("long").alias("version"), F.col("written_at").alias("valid_from"), F.coalesce("_lead", "_next").alias("valid_to"),
+        *(["last_version"] if with_last else []),
+    )
+
+
+def strict(puts: DataFrame, bucket: int = 1_000_000) -> DataFrame:
+    """The log without writes that aren't later than all before them in log order: no interval of what is left is empty."""
+    log = puts.withColumn("_b", F.floor(F.col("ord") / bucket))
+    tops = log.groupBy(*KEY, "_b").agg(F.max("written_at").alias("_top"))
+    before = Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*KEY, "_b", F.max("_top").over(before).alias("_in"))
+    within = Window.partitionBy(*KEY, "_b").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    seen = log.withColumn("_own", F.max("written_at").over(within)).join(tops, [*KEY, "_b"])
+    latest = F.greatest("_own", "_in")
+    return seen.where(latest.isNull() | (F.col("written_at") > latest)).select(*puts.columns)
 
 
 def history(vers: DataFrame) -> DataFrame:
@@ -113,11 +130,20 @@ def iterate_keys(puts: DataFrame, ns: str, scope: str, prefix: str = "", batch:
 
 
 def create_only(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """First put of each key that doesn't exist yet: inserts at version 1; other rows of the batch conflict."""
+    """First put of each key that doesn't exist yet: inserts at version 1; the other rows are :func:`create_conflicts`."""
     first = batch.join(existing.select(*KEY).distinct(), KEY, "left_anti").groupBy(*KEY).agg(F.min(F.struct("written_at", "ord", "value")).alias("f"))
     return first.select(*KEY, "f.value", "f.written_at", "f.ord", F.lit(1).cast("long").alias("version"))
 
 
+def create_conflicts(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of a create-only batch that are refused: ``KEY, ord, expected`` (0) and ``actual``, the version that they met."""
+    there = existing.groupBy(*KEY).agg(F.count("*").alias("_n"))
+    first = batch.groupBy(*KEY).agg(F.min(F.struct("written_at", "ord")).alias("_f"))
+    seen = batch.join(there, KEY, "left").join(first, KEY)
+    won = F.col("_n").isNull() & (F.struct("written_at", "ord") == F.col("_f"))
+    return seen.where(~won).select(*KEY, "ord", F.lit(0).cast("long").alias("expected"), F.coalesce("_n", F.lit(1)).cast("long").alias("actual"))
+
+
 def cas_replay(ops: DataFrame) -> DataFrame:
     """Outcome of each put with ``expected`` (null: unconditional, 0: create only, n: compare and swap), in order.
 
@@ -126,14 +152,15 @@ def cas_replay(ops: DataFrame) -> DataFrame:
 
     def step(state, row):
         now = state["v"]
-        ok = row.expected != row.expected or row.expected is None or int(row.expected) == now
+        ok = row.expected is None or row.expected != row.expected or int(row.expected) == now
         state["v"] += ok
-        return [(row.ns, row.scope, row.key, row.ord, ok, state["v"], None if ok or not now else now)]
+        return [(row.ns, row.scope, row.key, row.ord, ok, state["v"], None if ok or not now else str(now))]
 
-    rows = ops.select(*KEY, "ord", F.col("expected").cast("double").alias("expected"), "written_at")
-    schema = "ns string, scope string, key string, ord long, ok boolean, version long, actual double"
+    # numbers that may be null go as text: pandas would make doubles of them
+    rows = ops.select(*KEY, "ord", F.col("expected").cast("string").alias("expected"), "written_at")
+    schema = "ns string, scope string, key string, ord long, ok boolean, version long, actual string"
     out = ordered_fold(rows, KEY, ["written_at", "ord"], lambda: {"v": 0}, step, schema)
-    return out.withColumn("actual", F.when(~F.isnan("actual"), F.col("actual").cast("long")))
+    return out.withColumn("actual", F.col("actual").cast("long"))
 
 
 def reused_keys(puts: DataFrame, tx: str = "txid") -> DataFrame:
@@ -172,9 +199,14 @@ def gaps_in_time(vers: DataFrame) -> DataFrame:
 
 
 def prune_prefix(vers: DataFrame, n: int) -> DataFrame:
-    """Versions left when each key's ``n`` oldest go; a key of ``n`` versions or fewer, whose live one would go, is left whole."""
+    """Versions left when each key's ``n`` oldest go; a key of ``n`` versions or fewer, whose live one would go, is left whole.
+
+    With ``last_version`` in ``vers`` (see :func:`versions`) this is a filter.
+    """
     if isinstance(n, bool) or n < 0:
         raise_error("VALIDATION_FAILED", "n counts versions")
+    if "last_version" in vers.columns:
+        return vers.where((F.col("last_version") <= n) | (F.col("version") > n)).drop("last_version")
     sizes = vers.groupBy(*KEY).agg(F.max("version").alias("_high"))
     return vers.join(sizes, KEY).where((F.col("_high") <= n) | (F.col("version") > n)).drop("_high")
 

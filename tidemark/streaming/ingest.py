@@ -1,6 +1,6 @@
 """Incremental block ingest: a file stream of node blocks, each micro-batch committed before the stream's own cursor.
 
-The batch's rows and its id go into one commit record, and an id that is in the log already adds nothing, so a batch that
+The batch's rows and its id go into one commit record, and an id not above the last one in the log adds nothing, so a batch that
 runs again after a crash has its effect once. The cursor is never ahead of the data.
 """
 
@@ -16,13 +16,14 @@ from ..sources.chain_rpc import NODE_BLOCK
 BLOCKS = "net string, height long, block_hash string, parent_hash string, state_root string, extrinsics_root string, header_blob_hash string, body_blob_hash string"
 
 
-def commit_batch(log: Log, batch: DataFrame, batch_id: int, net: str) -> bool:
-    """Appends a batch's new blocks and its cursor; False if the batch was committed before."""
-    if any(r["info"].get("batch") == batch_id for r in log.records()):
+def commit_batch(log: Log, batch: DataFrame, batch_id: int, net: str, app: str = "ingest") -> bool:
+    """Appends a batch's new blocks and its cursor; False if ``app``, whose ids ascend, committed the batch before."""
+    last = log.last_batch(app)
+    if last is not None and batch_id <= last:
         return False
     rows = archive.block_records(batch, net).drop("extrinsics").where("height is not null")
     rows = archive.first_wins(rows, archive.BLOCK, ["header_blob_hash"], log.read("blocks", BLOCKS)).select(*[f.split()[0] for f in BLOCKS.split(", ")])
-    with log.transaction(batch=batch_id) as tx:
+    with log.transaction(app=app, batch=batch_id) as tx:
         tx.append("blocks", rows)
         top = rows.agg(F.max("height").alias("height")).where("height is not null").select(F.lit(archive.BLOCK[0]).alias("kind"), F.lit(net).alias("key"), "height")
         tx.append("cursors", top)
@@ -32,11 +33,11 @@ def commit_batch(log: Log, batch: DataFrame, batch_id: int, net: str) -> bool:
 def ingest(spark: SparkSession, source: str, log: Log, checkpoint: str, net: str, max_files: int = 100, available_now: bool = True, interval: str = "10 seconds"):
     """Starts the query. ``available_now`` ends when all files are in; else it polls at ``interval``."""
     stream = spark.readStream.schema(NODE_BLOCK).option("maxFilesPerTrigger", max_files).json(source)
-    writer = stream.writeStream.foreachBatch(lambda batch, n: commit_batch(log, batch, n, net) and None).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, n: commit_batch(log, batch, n, net, f"ingest {net} {checkpoint}") and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def changed_parameters(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def changed_parameters(stream: DataFrame) -> DataFrame:
     """Change-only rows of a stream of ``net, height, value, at``: the state is the last value of each net.
 
     The state is checkpointed, so a restart doesn't emit the last value again.

@@ -2,10 +2,11 @@
 
 Validated card numbers, phone numbers, IPv4 addresses, social security numbers, dates, and the local parts of e-mail addresses
 are permuted within their own format: digits stay digits, separators and letter case stay in place, card
-numbers stay Luhn-valid, dates stay dates, area codes and octets stay in range. Each permutation is an alternating Feistel network over two residues,
+numbers stay Luhn-valid, dates stay dates, country codes stay, area codes and octets stay in range. Each permutation is an alternating Feistel network over two residues,
 ``a' = (a + F(b)) mod p``, with F from SHA-256 of the key, the format and the round. It is a bijection on
 its format, so equal values get equal pseudonyms in every document and different values different ones, and the holder of
-the key can invert it. A date is permuted as a day of the 400 years from 1800 on, whatever its notation.
+the key can invert it. A date is permuted as a day of the 400 years from 1800 on, the same in ISO, dotted and day-first notation;
+slashed dates that can only be month first are permuted among themselves.
 
 A text is cut at the matches of one pattern; pieces and pseudonyms are joined again. Nothing is shuffled.
 """
@@ -19,7 +20,7 @@ from .common import free_name
 
 ROUNDS = 8
 #: Patterns of the kinds, tried in this order (fixed values).
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+(?![0-9])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:1[89]|2[01])[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:1[89]|2[01])[0-9]{2})(?![0-9])"
 PHONE = r"(?<![0-9+(])(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{0,2}(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])"
@@ -28,8 +29,12 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD))
 #: Days of a full Gregorian cycle, 189 * 773, and where it begins (fixed values).
 CYCLE, CYCLE_PARTS, CYCLE_START = 146_097, (189, 773), "1800-01-01"
-#: Notations of dates, the later ones tried first.
-NOTATIONS = ("MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd")
+#: Notations of dates.
+NOTATIONS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")
+#: Days of the cycle's 4800 months beyond each one's twelfth: those that only a month-first notation can mean, 3 * 29499 (fixed values).
+LATE_DAYS, LATE_PARTS, MONTHS = 88_497, (3, 29_499), 4800
+#: Country codes of one and two digits; all others have three (fixed values).
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -97,7 +102,7 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """National ten-digit numbers keep valid area and exchange codes; others keep their country code."""
+    """National ten-digit numbers (a leading 1 stays) keep valid area and exchange codes; those of other countries keep their country code."""
     digits = _digits(m)
     ten = F.substring(digits, -10, 10)
     lead = F.substr(digits, F.lit(1), F.length(digits) - 10)
@@ -110,8 +115,10 @@ def _phone(m: Column, key: str) -> Column:
     new = F.concat(
         lead, F.lpad((pair["a"] + a0).cast("string"), 3, "0"), F.lpad((F.floor(pair["b"] / 10_000) + e0).cast("string"), 3, "0"), F.lpad((pair["b"] % 10_000).cast("string"), 4, "0")
     )
-    foreign = F.concat(F.substring(digits, 1, 2), _permuted(F.substr(digits, F.lit(3), F.length(digits) - 2), key, "phone-abroad"))
-    return _refill(m, F.when((F.length(digits) == 10) | (F.length(digits) == 11) & digits.startswith("1"), new).otherwise(foreign))
+    code = F.regexp_extract(F.concat(F.lit("+"), digits), COUNTRY, 1)
+    abroad = F.concat(code, _permuted(F.substr(digits, F.length(code) + 1, F.length(digits) - F.length(code)), key, "phone-abroad"))
+    national = F.when(F.startswith(m, F.lit("+")), (F.length(digits) == 11) & digits.startswith("1")).otherwise(True)
+    return _refill(m, F.when(national, new).otherwise(abroad))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -131,15 +138,29 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO, dotted (day first) and slashed (day first, else month first) dates; impossible ones stay as they are."""
+    """ISO, dotted (day first) and slashed dates; impossible ones stay as they are.
+
+    A slashed date is day first if it can be. One that can only be month first becomes another such date, so that no two
+    dates of one notation share a pseudonym.
+    """
+    start = F.lit(CYCLE_START).cast("date")
     out = m
-    for notation in NOTATIONS:
-        day = F.to_date(F.try_to_timestamp(m, F.lit(notation)))
-        n = F.datediff(day, F.lit(CYCLE_START).cast("date"))
+    for notation in NOTATIONS[:3]:
+        n = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(notation))), start)
         pair = feistel(F.floor(n / CYCLE_PARTS[1]), n % CYCLE_PARTS[1], F.lit(CYCLE_PARTS[0]).cast("long"), F.lit(CYCLE_PARTS[1]).cast("long"), key, "date")
-        moved = F.date_add(F.lit(CYCLE_START).cast("date"), (pair["a"] * CYCLE_PARTS[1] + pair["b"]).cast("int"))
+        moved = F.date_add(start, (pair["a"] * CYCLE_PARTS[1] + pair["b"]).cast("int"))
         out = F.when(n.between(0, CYCLE - 1), F.date_format(moved, notation)).otherwise(out)
-    return out
+    # days after a month's twelfth are numbered without the first twelve of all months up to theirs
+    day = F.to_date(F.try_to_timestamp(m, F.lit(NOTATIONS[3])))
+    n = F.datediff(day, start) - 12 * (12 * (F.year(day) - 1800) + F.month(day))
+    pair = feistel(F.floor(n / LATE_PARTS[1]), n % LATE_PARTS[1], F.lit(LATE_PARTS[0]).cast("long"), F.lit(LATE_PARTS[1]).cast("long"), key, "date-month-first")
+    new = pair["a"] * LATE_PARTS[1] + pair["b"]
+    # months are near equal in late days: the month is the one this says, or a neighbour
+    before = lambda month: F.datediff(F.add_months(start, month), start) - 12 * month
+    guess = F.floor(new * MONTHS / LATE_DAYS).cast("int")
+    month = F.when(before(guess + 1) <= new, guess + 1).when(before(guess) <= new, guess).otherwise(guess - 1)
+    moved = F.date_add(F.add_months(start, month), (new - before(month) + 12).cast("int"))
+    return F.when(out.eqNullSafe(m) & F.contains(m, F.lit("/")) & (F.dayofmonth(day) > 12) & F.year(day).between(1800, 2199), F.date_format(moved, NOTATIONS[3])).otherwise(out)
 
 
 def _letters(text: Column, stream: Column) -> Column:
@@ -163,7 +184,9 @@ def _email(m: Column, key: str) -> Column:
     half = (F.length(local) / 2).cast("int")
 
     def step(state: Column, r: Column) -> Column:
-        stream = lambda x: F.sha2(F.concat_ws("|", F.lit(f"{key}|email"), F.length(local).cast("string"), r.cast("string"), x), 256)
+        salt = (F.lit(f"{key}|email"), F.length(local).cast("string"), r.cast("string"))
+        # two hex digits a letter, 32 letters a digest
+        stream = lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(half / 32).cast("int")), lambda i: F.sha2(F.concat_ws("|", *salt, i.cast("string"), x), 256)), "")
         even = r % 2 == 0
         return F.struct(
             F.when(even, _letters(state["a"], stream(state["b"]))).otherwise(state["a"]).alias("a"),
@@ -189,7 +212,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with ``text_col`` pseudonymised, plus ``n_numbers, n_dates, n_emails`` (values replaced).
 
     Null text stays null and counts 0; empty text stays empty. Numbers that fail validation (Luhn, octets, calendar)
-    stay as they are. Other columns stay; columns of the three names are replaced.
+    stay as they are. Repeated rows stay and are treated alike; an empty table gives no rows. Other columns stay; columns of
+    the three names are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_numbers", "n_dates", "n_emails")])
     hits, gaps, kinds, news = free_name(docs, "pii_hits", "pii_gaps", "pii_kinds", "pii_new")

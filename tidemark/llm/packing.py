@@ -37,9 +37,13 @@ def cuts(n: int, capacity: int) -> list[int]:
     return out + [rest] * (rest > 0)
 
 
-def _bin_id(length: int, worker: int, bin: int) -> int:
-    """Ids of bins that a worker filled: above all others, distinct by class, worker and count."""
-    return 1 << 62 | length << 50 | worker << 26 | bin
+#: Longest sequence: ids of bins are laid out for it.
+MAX_CAPACITY = 1 << 20
+
+
+def _bin_id(worker: int, bin: int) -> int:
+    """Ids of bins that a worker filled: above all others, distinct by worker and count."""
+    return 1 << 62 | worker << 38 | bin
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str | None, end_id: int) -> DataFrame:
@@ -47,7 +51,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabular
 
     def cut(batches):
         path = vocabulary or default_vocabulary()
-        worker, filled, open_bins = TaskContext.get().partitionId(), {}, {}
+        worker, filled, open_bins = TaskContext.get().partitionId(), 0, {}
 
         def batch_of(rows):
             columns = list(zip(*rows, strict=True))
@@ -65,9 +69,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabular
                     own.append((key, start, n, ids[start : start + n].tobytes(), len(ids)))
                     start += n
                     if len(own) == capacity // n:
-                        number = filled.get(n, 0)
-                        filled[n] = number + 1
-                        done += [(*row, worker, at, _bin_id(n, worker, number), at * n) for at, row in enumerate(open_bins.pop(n))]
+                        done += [(*row, worker, at, _bin_id(worker, filled), at * n) for at, row in enumerate(open_bins.pop(n))]
+                        filled += 1
                 if len(done) > 4096:
                     yield batch_of(done)
                     done = []
@@ -85,12 +88,14 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabular
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, vocabulary: str | None = None, end_id: int = 1
 ) -> DataFrame:
-    """One row per piece: ``id_col, start, length, ids, doc_tokens, sequence_id, offset``.
+    """One row per piece: ``id_col, start, length, ids, doc_tokens, sequence_id, offset``; ``capacity`` is at most 2**20.
 
     Each id of each document, its end id included, lies in exactly one piece; pieces fill a sequence gapless from
     offset 0. Null or empty text: the end id alone. Rows that share an id (or have none) are packed each by itself.
     An empty table gives no rows. Other columns are not read.
     """
+    if not 1 <= capacity <= MAX_CAPACITY:
+        raise ValueError(f"capacity {capacity} isn't from 1 to {MAX_CAPACITY}")
     cut = written(pieces(docs, id_col, text_col, capacity, vocabulary, end_id), "pieces")
     own = cut.where("sequence_id is not null").select(F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
     loose = cut.where("sequence_id is null").drop("sequence_id", "offset")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..control.files import shared_dir
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -25,25 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode.
-
-    Every executor must be able to read what another one wrote there.
-    """
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and jsc.getCheckpointDir().isDefined():
-        return str(jsc.getCheckpointDir().get()).rstrip("/")
-    if not named:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.sparkContext.setCheckpointDir(named)
-    elif jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -58,6 +39,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def joined(left: DataFrame, right: DataFrame, on: str, weight: str, least: int = 50_000, most: int = 100_000) -> DataFrame:
+    """Inner join with ``right``, which has one row for each ``on``, never null, and in ``weight`` how many rows of ``left`` have it.
+
+    A key of more than ``least`` rows, and of more than one in ``most`` of all, is broadcast: there can't be ``most`` such keys, and
+    their rows stay in the tasks they are in. All others are shuffled, so no task gets more than that of one key.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    limit = max(least, total // most)
+    hot = right.where(F.col(weight) > limit)
+    if not hot.limit(1).count():
+        return left.join(right, on)
+    cold = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(weight) <= limit), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """Helper column names that clash with no column of ``df`` (Spark compares without case)."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, written
+from .common import checkpointed, free_name, joined, written
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -117,20 +117,21 @@ def links(points: DataFrame, max_bucket: int = 32) -> DataFrame:
     return found.where("b is not null").unionByName(starred).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 50, hub: int = 50_000) -> DataFrame:
     """``node, root`` for every node of an edge: its component's smallest node.
 
     Alternating large-star and small-star steps, each a shuffle of the edges with map-side minima; every round is
-    checkpointed and their number grows with the logarithm of the longest chain.
+    checkpointed and their number grows with the logarithm of the longest chain. The minima of nodes of over ``hub`` edges are
+    broadcast, so a star's edges never meet in one task.
     """
     edges = checkpointed(edges.select("a", "b"))
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = joined(both, least, "a", "n", hub).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = joined(large, down, "b", "n", hub).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
         edges = checkpointed(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -139,25 +140,40 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bucket: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bucket: int = 32, hub: int = 50_000) -> DataFrame:
     """One row per input row: ``id_col, fingerprint`` (16 hex digits) and ``component_id``.
 
     The component id is the smallest id reachable over links of two or fewer differing bits, the row's own included.
     Null or empty text has fingerprint zero and is linked like any other. Rows without an id take part and get the
-    smallest id of their component, null if it has none. Repeated rows stay. An empty table gives no rows.
+    smallest id of their component, null if it has none. Repeated rows stay. An empty table gives no rows. Other columns are not
+    read. Fingerprints of over ``hub`` rows, and components of over ``hub`` fingerprints, are joined by broadcast.
     """
-    fp = written(fingerprints(docs.select(id_col, text_col), text_col, "fp", shingle), "fingerprints")
-    points = fp.groupBy("fp").agg(F.min(id_col).alias("least"))
-    reach = checkpointed(components(links(points.select("fp"), max_bucket)))
-    ids = points.join(reach, points["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = ids.join(roots, "root").select("fp", "component_id")
-    return fp.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of its component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    (gone,) = free_name(docs, "gone_id")
-    losers = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(losers, F.col(id_col) == F.col(gone), "left_anti")
+    found = _named(docs, id_col, text_col, shingle, max_bucket, hub)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bucket: int, hub: int) -> DataFrame:
+    """``id, mark`` (hash of the text)``, fp, component_id`` and the component's least ``mark``, a row for each of ``docs``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    fp = written(fingerprints(rows, "text", "fp", shingle), "fingerprints")
+    points = written(fp.groupBy("fp").agg(F.min("id").alias("least"), F.min("mark").alias("least_mark"), F.count("*").alias("rows")), "fingerprint-points")
+    reach = checkpointed(components(links(points.select("fp"), max_bucket), hub=hub))
+    ids = written(points.join(reach, points["fp"] == reach["node"], "left").select("fp", "least", "least_mark", "rows", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_mark").alias("component_mark"), F.count("*").alias("points"))
+    named = joined(ids.select("fp", "rows", "root"), written(roots, "component-ids"), "root", "points", hub)
+    return joined(fp, named.select("fp", "component_id", "component_mark", "rows"), "fp", "rows", hub)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bucket: int = 32, hub: int = 50_000) -> DataFrame:
+    """``docs`` without the rows whose id is not the smallest of their component.
+
+    Rows are told apart by id and text: of rows that share an id, one goes only if its own component has a smaller id. A row
+    without an id goes if its component has one; of a component without ids one text stays. Repeated rows stay together.
+    Null and empty texts are one component. An empty table gives no rows.
+    """
+    found = _named(docs, id_col, text_col, shingle, max_bucket, hub)
+    gone, mark, own = free_name(docs, "gone_id", "gone_mark", "text_mark")
+    nameless = F.col("id").isNull() & (F.col("component_id").isNotNull() | (F.col("mark") > F.col("component_mark")))
+    losers = found.where(nameless | (F.col("id") > F.col("component_id"))).select(F.col("id").alias(gone), F.col("mark").alias(mark)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return marked.join(losers, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(mark)), "left_anti").drop(own)

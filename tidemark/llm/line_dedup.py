@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, joined, written
 
 #: White space stripped from both ends of a line to form its key (fixed values).
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -124,14 +124,14 @@ def filter_bits(lines: int, max_filter_bits: int) -> int:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 1 << 26
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 1 << 26, hub: int = 50_000
+) -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``, plus ``n_lines`` and ``n_dropped``.
 
     A line whose key has ``min_chars`` code points and stands in ``min_docs`` documents stays only in the document
     of the largest id that holds it (there, every time it stands). Null or empty text: one empty line, kept. Rows
     that share an id count as one document and are treated alike; rows without an id count as one document below
-    all others. Column order and other columns stay; helper columns avoid names already taken, and a column of ``docs``
+    all others. An empty table gives no rows. Column order and other columns stay; helper columns avoid names already taken, and a column of ``docs``
     called n_lines or n_dropped is replaced.
     """
     spark = docs.sparkSession
@@ -140,36 +140,47 @@ def dedup_lines(
     bits = filter_bits(lines, max_filter_bits)
     suspects = spark.sparkContext.broadcast(twice_seen_filter(docs, text_col, bits, min_chars).tobytes())
 
-    def suspected(batches):
+    def suspected(text: bytes | None, seen: np.ndarray) -> list[bytes]:
+        """The keys of a text whose bits all stand in the filter."""
+        keys = list(_keys(text, min_chars))
+        if not keys:
+            return keys
+        p = _positions(keys, bits)
+        hit = ((seen[p >> np.uint64(3)] >> (7 - (p & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+        return [keys[i] for i in np.flatnonzero(hit).tolist()]
+
+    def digests(batches):
         seen = np.frombuffer(suspects.value, np.uint8)
         for batch in batches:
-            ids, digests = [], []
-            for at, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                keys = list(_keys(text, min_chars))
-                if not keys:
-                    continue
-                p = _positions(keys, bits)
-                hit = ((seen[p >> np.uint64(3)] >> (7 - (p & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-                found = [hashlib.sha256(keys[i]).digest() for i in np.flatnonzero(hit)]
-                ids += [at] * len(found)
-                digests += found
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(digests, pa.binary())], ["id", "key"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    held = written(docs.select(id_col, text_col).mapInArrow(suspected, f"id {id_type}, key binary"), "line-suspects")
-    once_each = held.groupBy("key", "id").agg(F.lit(1).alias("one"))
-    repeated = once_each.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    dropped = (
-        once_each.join(repeated, "key")
-        .where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy("id")
-        .agg(F.collect_list("key").alias("keys"))
-    )
-    did, keys = free_name(docs, "drop_id", "drop_keys")
-    joined = docs.join(dropped.select(F.col("id").alias(did), F.col("keys").alias(keys)), F.col(id_col).eqNullSafe(F.col(did)), "left").drop(did)
+            at, found = [], []
+            for row, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+                keys = suspected(text, seen)
+                at += [row] * len(keys)
+                found += [hashlib.sha256(k).digest() for k in keys]
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found, pa.binary())], ["id", "mark", "key"])
+
+    did, mark, own, keys = free_name(docs, "drop_id", "drop_mark", "text_mark", "drop_keys")
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     names = docs.columns
     text_at, width = names.index(text_col), len(names)
 
+    def parted(clean: bool):
+        """The rows without a suspected key, finished; or the others, as they are."""
+
+        def run(batches):
+            seen = np.frombuffer(suspects.value, np.uint8)
+            for batch in batches:
+                texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+                rows = [i for i, text in enumerate(texts) if bool(suspected(text, seen)) != clean]
+                part = batch.take(pa.array(rows, pa.int64()))
+                if clean:
+                    yield from kept([pa.RecordBatch.from_arrays([*part.columns[:width], pa.nulls(len(rows), pa.list_(pa.binary()))], [*names, keys])])
+                else:
+                    yield part
+
+        return run
+
     def kept(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
@@ -186,5 +197,16 @@ def dedup_lines(
             columns = [batch.column(i) if i != text_at else pa.array(texts, pa.binary()).cast(pa.string()) for i in range(width)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
+    id_type = docs.schema[id_col].dataType.simpleString()
+    held = written(marked.select(id_col, own, text_col).mapInArrow(digests, f"id {id_type}, mark long, key binary"), "line-suspects")
+    holders = held.groupBy("key", "id").agg(F.count("*").alias("rows"))
+    repeated = holders.groupBy("key").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    repeated = written(repeated.select("key", "rows", "keeper"), "repeated-lines")
+    lost = joined(held, repeated, "key", "rows", hub).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    # rows that share an id, or have none, each get the lines of their own text
+    dropped = lost.groupBy(F.col("id").alias(did), F.col("mark").alias(mark)).agg(F.collect_set("key").alias(keys))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(kept, f"{fields}, n_lines bigint, n_dropped bigint")
+    meets = F.col(id_col).eqNullSafe(F.col(did)) & (F.col(own) == F.col(mark))
+    some = marked.mapInArrow(parted(False), f"{fields}, `{own}` bigint").join(dropped, meets, "left").drop(did, mark, own)
+    out = f"{fields}, n_lines bigint, n_dropped bigint"
+    return marked.mapInArrow(parted(True), out).unionByName(some.mapInArrow(kept, out))

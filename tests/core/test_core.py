@@ -5,8 +5,10 @@ import json
 import multiprocessing
 import os
 import random
+import threading
 import time
 from datetime import datetime, timedelta
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import duckdb
 import pytest
@@ -24,7 +26,7 @@ from tidemark.control.stores import CheckpointStore, HistoryStore, KvStore
 from tidemark.functions import values
 from tidemark.operators import archive, checkpoint, cursors, envelope, history, temporal
 from tidemark.plans import queries as plans
-from tidemark.sources import chain_rpc
+from tidemark.sources import chain_rpc, pull
 from tidemark.streaming import ingest
 
 T = datetime(2024, 1, 1)
@@ -568,6 +570,78 @@ def test_rpc_clients():
         chain_rpc.IndexerClient("u", lambda u, b: '{"data":{"block":null}}').block(1)
 
 
+TIP = 9
+
+
+def fake_node(url, body):
+    call = json.loads(body)
+    block = lambda n: {"block": {"header": node_json(n)["header"] | {"number": hex(n)}, "extrinsics": ["0xaa"]}}
+    answers = {
+        "chain_getFinalizedHead": lambda: "0xhead", "chain_getHeader": lambda at: {"number": hex(TIP)}, "chain_getBlockHash": lambda n: f"0x{n:064x}" if n <= 50 else None,
+        "chain_getBlock": lambda at: block(int(at, 16)),
+    }
+    return json.dumps({"result": answers[call["method"]](*call["params"])})
+
+
+def test_pull_source(spark, tmp_path):
+    class Answers(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = fake_node("", self.rfile.read(int(self.headers["content-length"])).decode()).encode()
+            self.send_response(200)
+            self.send_header("content-length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    options = {"url": f"http://127.0.0.1:{server.server_port}", "per_task": "3"}
+    spark.dataSource.register(pull.NodeBlocks)
+    rows = spark.read.format("node_blocks").options(**options, low="2", high="9").load()
+    assert rows.rdd.getNumPartitions() == 3 and sorted(int(r.header.number, 16) for r in rows.collect()) == list(range(2, 10))
+    log = Log(spark, f"file://{tmp_path}/log")
+    assert [ingest.sync_once(spark, log, options, "n", 6) for _ in range(3)] == [6, 4, 0]
+    assert sorted(r.height for r in log.read("blocks", ingest.BLOCKS).collect()) == list(range(10))
+    stream = spark.readStream.format("node_blocks").options(**options, max_blocks="4").load()
+    q = stream.selectExpr("conv(substr(header.number, 3), 16, 10) AS n").writeStream.format("memory").queryName("pulled").option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    until = time.monotonic() + 60
+    while spark.table("pulled").count() < 10 and time.monotonic() < until:
+        time.sleep(0.5)
+    q.stop()
+    server.shutdown()
+    assert sorted(int(r.n) for r in spark.table("pulled").collect()) == list(range(10))
+
+
+def test_retries_and_the_loop():
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            errors.raise_error("CONNECTION_ERROR")
+        return 7
+
+    assert pull.retried(flaky, 3, 0) == 7
+    with pytest.raises(errors.ERRORS["CONNECTION_ERROR"]):
+        pull.retried(lambda: errors.raise_error("CONNECTION_ERROR"), 2, 0)
+    did, waits = iter([3, 0, "fault", 2, "stop"]), []
+    state = {"stop": False}
+
+    def step():
+        now = next(did)
+        if now == "fault":
+            errors.raise_error("CONNECTION_ERROR")
+        state["stop"] = now == "stop"
+        return 0 if now == "stop" else now
+
+    ingest.sync_loop(step, 15, 10, lambda: state["stop"], waits.append)
+    assert waits == [10, 15]
+    with pytest.raises(errors.ERRORS["VALIDATION_FAILED"]):
+        ingest.sync_loop(lambda: errors.raise_error("VALIDATION_FAILED"))
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -6,11 +6,16 @@ runs again after a crash has its effect once. The cursor is never ahead of the d
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..control.commit import Log
+from ..control.errors import TidemarkError
 from ..operators import archive
+from ..sources import pull
 from ..sources.chain_rpc import NODE_BLOCK
 
 BLOCKS = "net string, height long, block_hash string, parent_hash string, state_root string, extrinsics_root string, header_blob_hash string, body_blob_hash string"
@@ -37,6 +42,32 @@ def ingest(spark: SparkSession, source: str, log: Log, checkpoint: str, net: str
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+def sync_once(spark: SparkSession, log: Log, options: dict, net: str, max_blocks: int = 1024) -> int:
+    """Pulls the heights after the log's cursor, at most ``max_blocks``, and commits them with the new cursor; blocks fetched."""
+    top = log.read("cursors", "kind string, key string, height long").where(F.col("key") == net).agg(F.max("height")).first()[0]
+    tip = pull.retried(pull.client(options).finalized_height, int(options.get("attempts", 3)))
+    heights = archive.sync_range(top, tip, max_blocks)
+    if not heights:
+        return 0
+    spark.dataSource.register(pull.NodeBlocks)
+    batch = spark.read.format("node_blocks").options(**options, low=heights.start, high=heights.stop - 1).load()
+    commit_batch(log, batch, heights.stop, net, f"sync {net}")
+    return len(heights)
+
+
+def sync_loop(step: Callable[[], int], retry: float = 15.0, idle: float = 10.0, stop: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Runs ``step`` until ``stop()``: at once again after work, after ``idle`` seconds without any, after ``retry`` on an error that may pass."""
+    while not stop():
+        try:
+            wait = 0.0 if step() else idle
+        except TidemarkError as fault:
+            if not fault.retryable:
+                raise
+            wait = retry
+        if wait and not stop():
+            sleep(wait)
+
+
 def changed_parameters(stream: DataFrame) -> DataFrame:
     """Change-only rows of a stream of ``net, height, value, at``: the state is the last value of each net.
 

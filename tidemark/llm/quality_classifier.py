@@ -82,6 +82,18 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, first, axis=0)
         return {"row": row, "first": first, "h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ w["u"] + w["c"])}
 
+    def gradients(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss by every weight, for prepared passages."""
+        f, w = self._forward(x, bag), self.weights
+        h, t, g, a, row, first = (f[k] for k in ("h", "t", "g", "a", "row", "first"))
+        dp = (f["p"] - y) / len(y)
+        dz = dp[:, None] * w["u"]
+        da = (dz[row] * h).sum(axis=1)
+        de = a * (da - np.add.reduceat(a * da, first)[row])
+        dt, dg = de[:, None] * w["w"] * g * (1 - t * t), de[:, None] * w["w"] * t * g * (1 - g)
+        dh = (a[:, None] * dz[row] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "u": f["z"].T @ dp, "c": dp.sum()}
+
     def prepared(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.centre) / self.scale, -5, 5)
 
@@ -105,16 +117,7 @@ def train(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 24, gates
     x = model.prepared(x)
     moment = {k: [np.zeros(s), np.zeros(s)] for k, s in shapes.items()}
     for step in range(1, steps + 1):
-        f = model._forward(x, bag)
-        h, t, g, a, row, first = (f[k] for k in ("h", "t", "g", "a", "row", "first"))
-        dp = (f["p"] - y) / len(y)
-        dz = dp[:, None] * weights["u"]
-        da = (dz[row] * h).sum(axis=1)
-        de = a * (da - np.add.reduceat(a * da, first)[row])
-        dt, dg = de[:, None] * weights["w"] * g * (1 - t * t), de[:, None] * weights["w"] * t * g * (1 - g)
-        dh = (a[:, None] * dz[row] + dt @ weights["V"].T + dg @ weights["U"].T) * (1 - h * h)
-        grads = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "u": f["z"].T @ dp, "c": dp.sum()}
-        for k, grad in grads.items():
+        for k, grad in model.gradients(x, bag, y).items():
             grad = grad + (1e-5 * weights[k] if k not in "bc" else 0)
             m, v = moment[k]
             moment[k] = [0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad]
@@ -152,7 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, model: AttentionModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 if score >= threshold, else 0); columns of these names are replaced.
 
-    Null or empty text is one empty passage and gets a score like any other. Only the text is an input of the score.
+    Null or empty text is one empty passage and gets a score like any other. Only the text is an input of the score. Repeated
+    rows and rows without an id stay and are scored alike. An empty table gives no rows.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
     fitted, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
@@ -170,7 +174,11 @@ def classify(docs: DataFrame, model: AttentionModel, text_col: str = "text", thr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` that the classifier, learned from ``labels``, doesn't reject; the columns of ``docs``."""
+    """``docs`` that the classifier, learned from ``labels``, doesn't reject; the columns of ``docs``.
+
+    Null and empty texts are judged by the score of an empty passage. Repeated rows go or stay together. Without labels of both
+    kinds no document is told from another, and all stay unless labels say that nearly all are bad. An empty table gives no rows.
+    """
     model = learn(docs, labels, id_col, text_col)
     # clashing names would be replaced by classify: score them under other names
     renamed = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in ("score", "predicted")}

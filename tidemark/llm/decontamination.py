@@ -419,7 +419,11 @@ def judged(item: Item, words: list[int], paraphrase: float) -> tuple[float, floa
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that are contaminated by an item of ``benchmark``."""
+    """``docs`` without the rows that are contaminated by an item of ``benchmark``.
+
+    Rows are told apart by id and text: of rows that share an id, or have none, those of a clean text stay. Null and empty texts
+    stay; repeated rows go or stay together. Empty tables, and an empty benchmark, take nothing away.
+    """
     gone_id, gone_mark = free_name(docs, "gone_id", "gone_mark")
     hit = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))

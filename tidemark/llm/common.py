@@ -39,18 +39,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def joined(left: DataFrame, right: DataFrame, on: str, weight: str, least: int = 50_000, most: int = 100_000) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, on: str, weight: str, least: int = 50_000, most: int = 100_000, fits=None) -> DataFrame:
     """Inner join with ``right``, which has one row for each ``on``, never null, and in ``weight`` how many rows of ``left`` have it.
 
     A key of more than ``least`` rows, and of more than one in ``most`` of all, is broadcast: there can't be ``most`` such keys, and
-    their rows stay in the tasks they are in. All others are shuffled, so no task gets more than that of one key.
+    their rows stay in the tasks they are in. All others are shuffled, so no task gets more than that of one key. A condition
+    ``fits`` on rows of ``right`` bounds the size of what is broadcast.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
-    limit = max(least, total // most)
-    hot = right.where(F.col(weight) > limit)
+    is_hot = F.col(weight) > max(least, total // most)
+    is_hot = is_hot if fits is None else F.coalesce(is_hot & fits, F.lit(False))
+    hot = right.where(is_hot)
     if not hot.limit(1).count():
         return left.join(right, on)
-    cold = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(weight) <= limit), on)
+    cold = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(~is_hot), on)
     return left.join(F.broadcast(hot), on).unionByName(cold)
 
 

@@ -9,6 +9,10 @@ exactly another way: two fingerprints are within two bits if and only if they sh
 so each emits itself and its 64 one-bit neighbours, and equal points are linked to the smallest holder. Links between
 members of such a bucket are all found so, and every other link is found in a small bucket. Rows grow with the number of
 fingerprints, never with the square of a group.
+
+Two bits hold copies that are all but equal. Texts whose five-word shingles have a Jaccard similarity of 0.8 differ in some ten bits,
+where segments of a 64-bit fingerprint don't select any more, so ``drop_near_duplicates`` finds these another way where it is
+asked to: bands of min-hashes give candidates, and every candidate pair is verified on its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, joined, written
+from .common import checkpointed, free_name, joined, slices, text_buffers, written
+from .tokens import ASCII_LOWER, mix, span_hashes, word_spans
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -164,16 +169,198 @@ def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bucket
     return joined(fp, named.select("fp", "component_id", "component_mark", "rows"), "fp", "rows", hub)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bucket: int = 32, hub: int = 50_000) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bucket: int = 32, hub: int = 50_000, similarity: float | None = None, similar_shingle: int = 5
+) -> DataFrame:
     """``docs`` without the rows whose id is not the smallest of their component.
 
-    Rows are told apart by id and text: of rows that share an id, one goes only if its own component has a smaller id. A row
-    without an id goes if its component has one; of a component without ids one text stays. Repeated rows stay together.
-    Null and empty texts are one component. An empty table gives no rows.
+    With ``similarity`` the rows that stay are then linked where their sets of ``similar_shingle`` words are that similar, and of each
+    such component the smallest id stays, too. Rows are told apart by id and text: of rows that share an id, one goes only if its own
+    component has a smaller id. A row without an id goes if its component has one; of a component without ids one text
+    stays. Repeated rows stay together. Null and empty texts are one component. An empty table gives no rows.
     """
-    found = _named(docs, id_col, text_col, shingle, max_bucket, hub)
+    out = _without(docs, _named(docs, id_col, text_col, shingle, max_bucket, hub), id_col, text_col)
+    if similarity is None:
+        return out
+    left = written(out, "fingerprints-apart")
+    rows = left.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    reach = checkpointed(components(similar(rows.select("mark", "text"), similarity, similar_shingle, max_bucket, hub), hub=hub))
+    named = rows.select("id", "mark").join(reach.withColumnRenamed("node", "mark"), "mark")
+    roots = named.groupBy("root").agg(F.min("id").alias("component_id"), F.min("mark").alias("component_mark"), F.count("*").alias("rows"))
+    return _without(left, joined(named, written(roots, "similar-ids"), "root", "rows", hub), id_col, text_col)
+
+
+def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows of ``found`` (``id, mark, component_id, component_mark``) that another row of their component stands for."""
     gone, mark, own = free_name(docs, "gone_id", "gone_mark", "text_mark")
     nameless = F.col("id").isNull() & (F.col("component_id").isNotNull() | (F.col("mark") > F.col("component_mark")))
     losers = found.where(nameless | (F.col("id") > F.col("component_id"))).select(F.col("id").alias(gone), F.col("mark").alias(mark)).distinct()
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return marked.join(losers, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(mark)), "left_anti").drop(own)
+
+
+#: Min-hashes of a band, and bands: of pairs at a similarity of 0.8 one in 500 shares no band. Further keys that split a large band.
+ROWS, BANDS, FURTHER = 4, 12, 8
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``shingle`` lower-cased words of each row (of fewer words: all of them), and each row's first."""
+    data = ASCII_LOWER[data]
+    starts, ends, first = word_spans(data, offsets)
+    words, n = span_hashes(data, starts, ends), np.diff(first)
+    size = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
+    bag = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(first[:-1] - bag[:-1], size) + np.arange(bag[-1])
+    left = np.repeat(first[1:], size) - at
+    out = np.zeros(len(at), np.uint64)
+    for k in range(shingle):
+        inside = left > k
+        out[inside] = mix(out[inside] * np.uint64(3) + words[at[inside] + k])
+    return out, bag
+
+
+def _sketch(hashes: np.ndarray, bag: np.ndarray) -> np.ndarray:
+    """Least values of each row's shingles under ``ROWS * BANDS`` orders, 32 bits each; rows without shingles are left out."""
+    rng = np.random.default_rng(7)
+    some = bag[:-1][np.diff(bag) > 0]
+    out = np.zeros((len(some), ROWS * BANDS), np.uint32)
+    for k, (a, b) in enumerate(rng.integers(0, 1 << 63, (ROWS * BANDS, 2), dtype=np.uint64).tolist()):
+        out[:, k] = np.minimum.reduceat(hashes * np.uint64(2 * a + 1 & (1 << 64) - 1) + np.uint64(b), some) >> np.uint64(32) if len(some) else 0
+    return out
+
+
+def _pair_scan(max_bucket: int, stars: bool):
+    """Reads ``key, mark`` sorted: all pairs of small buckets; a larger one's rows (``b`` null), or with ``stars`` its pairs with its first."""
+
+    def batch(a, b, key):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], ["a", "b", "key"])
+
+    def scan(batches):
+        carried = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        large = None  # key and first mark of a bucket too large to be held
+
+        def found(key, mark):
+            nonlocal large
+            if not len(key):
+                return
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(head, len(key)))
+            goes_on = large is not None and key[0] == large[0]
+            hot = size > max_bucket
+            hot[0] |= goes_on
+            centre = mark[head]
+            if goes_on:
+                centre[0] = large[1]
+            is_hot = np.repeat(hot, size)
+            if stars:
+                c = np.repeat(centre, size)[is_hot]
+                m = mark[is_hot]
+                yield batch(np.minimum(c, m)[c != m], np.maximum(c, m)[c != m], key[is_hot][c != m])
+            else:
+                yield batch(mark[is_hot], pa.nulls(int(is_hot.sum()), pa.int64()), key[is_hot])
+            k, m = key[~is_hot], mark[~is_hot]
+            for d in range(1, min(max_bucket, len(k))):
+                at = np.flatnonzero(k[d:] == k[:-d])
+                if not len(at):
+                    break
+                yield batch(m[at], m[at + d], k[at])
+
+        for rows in batches:
+            key, mark = (np.concatenate([c, rows.column(i).to_numpy()]) for i, c in enumerate(carried))
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            if len(key) - last > max_bucket or large is not None and key[-1] == large[0]:
+                first = large[1] if large is not None and key[-1] == large[0] else mark[last]
+                yield from found(key, mark)
+                large, carried = (key[-1], first), (key[:0], mark[:0])
+            else:
+                yield from found(key[:last], mark[:last])
+                large, carried = None, (key[last:], mark[last:])
+        yield from found(*carried)
+
+    return scan
+
+
+def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bucket: int = 32, hub: int = 50_000) -> DataFrame:
+    """Edges ``a < b`` over ``mark`` of ``mark, text``: pairs of distinct texts whose shingle sets have that Jaccard similarity.
+
+    Candidates share a band of min-hashes. A band of over ``max_bucket`` texts is split by further min-hashes, and where that leaves
+    as many, each is compared with the first of them; it meets others in its other bands. All candidates are verified. A text of over
+    ``hub`` candidates is broadcast to them if it is of at most 64 KB (1000 texts at most).
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sketched(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for lo, hi in slices(offsets):
+                hashes, bag = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
+                rows = np.flatnonzero(np.diff(bag) > 0)
+                raw = [x.tobytes() for x in _sketch(hashes, bag)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(raw, pa.binary())], ["mark", "rows"])
+
+    sketches = written(texts.select("mark", "text").mapInArrow(sketched, "mark long, rows binary").dropDuplicates(["mark"]), "sketches")
+
+    def rows_of(col: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, ROWS * BANDS).astype(np.uint64)
+
+    def keys_of(rows: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mix(rows + mix(salt.astype(np.uint64)))
+
+    def banded(batches):
+        for batch in batches:
+            rows, mark = rows_of(batch.column(1)), batch.column(0)
+            for band in range(BANDS):
+                key = np.full(len(rows), band, np.uint64)
+                for k in range(ROWS):
+                    key = keys_of(rows[:, band * ROWS + k], key)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), mark], ["key", "mark"])
+
+    def split(batches):
+        for batch in batches:
+            rows, mark, key = rows_of(batch.column(2)), batch.column(0), batch.column(1).to_numpy().view(np.uint64)
+            own = key % np.uint64(ROWS * BANDS)
+            for k in range(FURTHER):
+                column = ((own + np.uint64(k * 5 + 1)) % np.uint64(ROWS * BANDS)).astype(np.int64)
+                further = keys_of(rows[np.arange(len(rows)), column], mix(key) + np.uint64(k))
+                yield pa.RecordBatch.from_arrays([pa.array(further.view(np.int64)), mark], ["key", "mark"])
+
+    scan = lambda keyed, stars: keyed.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(_pair_scan(max_bucket, stars), "a long, b long, key long")
+    met = written(scan(sketches.mapInArrow(banded, "key long, mark long"), False), "bands")
+    hot = met.where("b is null").select(F.col("a").alias("mark"), "key").join(sketches, "mark").mapInArrow(split, "key long, mark long")
+    pairs = met.where("b is not null").select("a", "b").unionByName(scan(hot, True).select("a", "b")).distinct()
+    # the sketches tell most of the others: an estimate this far below has odds of one in thousands
+    pairs = written(pairs, "similar-pairs")
+
+    def meeting(left: DataFrame, right: DataFrame, value: str, most: int, fits=None) -> DataFrame:
+        """``left`` with the value of ``right`` (one row a ``mark``) for ``a``, the side that may be a star's centre, and for ``b``."""
+        sizes = left.groupBy("a").agg(F.count("*").alias("n"))
+        first = right.select(F.col("mark").alias("a"), F.col(value).alias(f"{value}_a")).join(sizes, "a")
+        second = right.select(F.col("mark").alias("b"), F.col(value).alias(f"{value}_b"))
+        return joined(left, first, "a", "n", hub, most, fits).join(second, "b").select("a", "b", f"{value}_a", f"{value}_b")
+
+    def likely(batches):
+        for batch in batches:
+            same = (rows_of(batch.column(2)) == rows_of(batch.column(3))).mean(axis=1) if batch.num_rows else np.zeros(0)
+            kept = pa.array(np.flatnonzero(same >= similarity - 0.2))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
+
+    pairs = written(meeting(pairs, sketches, "rows", 100_000).mapInArrow(likely, "a long, b long"), "similar-candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    whole = written(texts.select("mark", "text").join(named, "mark", "left_semi").dropDuplicates(["mark"]), "similar-texts")
+
+    def verified(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one, two = (np.unique(_shingles_of(batch.column(i)[at].as_py(), shingle)) for i in (2, 3))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both >= similarity * (len(one) + len(two) - both) - 1e-9:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1)], ["a", "b"])
+
+    return meeting(pairs, whole, "text", 1000, F.octet_length("text_a") <= 1 << 16).mapInArrow(verified, "a long, b long")
+
+
+def _shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return shingle_hashes(raw, np.array([0, len(raw)]), shingle)[0]

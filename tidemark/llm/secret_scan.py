@@ -3,13 +3,17 @@
 Patterns are located without any per-row code: the text split at a pattern gives the gaps, ``regexp_extract_all`` the
 matches, and running sums of their lengths the spans in code points. Strong findings (assignments, access ids, long hex
 runs) are reported as they are. Weaker candidates (account identifiers, other secrets, endpoints) are reported only where
-complementary parts co-occur: candidates of a text are joined by interval, each with the nearest identifier and secret on
-either side within a scope of ``scope`` code points, by ordered windows rather than pairs.
+complementary parts co-occur: each candidate, widened by ``scope`` code points on both sides, is interval-joined with the
+identifiers and secrets of its text, and reported with the nearest ones.
+
+The interval join is an equality join on pieces of ``scope`` code points: a part is sent to the pieces it touches, and a pair
+counts in the first piece that both touch. Matches of a kind don't overlap, so within a piece there are few, and the pairs
+grow with the text, not with the square of its parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, written
@@ -29,7 +33,7 @@ WEAK = (
 )
 PART = {"assign": "secret", "access": "identifier", "hex": "secret"} | {kind: part for kind, part, _ in WEAK}
 ORDER = {kind: i for i, kind in enumerate([*(k for k, _ in BASE), *(k for k, _, _ in WEAK)])}
-SPAN = "array<struct<s:int,k:int,e:int>>"
+_ONE = "struct<s:int,k:int,e:int>"
 _BLOCK = 256
 
 
@@ -79,7 +83,9 @@ def _spans(kind: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:
-    """One row per input row: ``id_col, base, weak``, arrays of ``s, k, e`` (start, rank of the kind, end), sorted.
+    """One row per input row: ``id_col, base, weak, links``: sorted arrays of ``s, k, e`` (start, rank of the kind, end).
+
+    ``links`` has, beside each weak candidate, the nearest ``identifier`` and ``secret`` within ``scope``, where there is one.
 
     Null or empty text has no findings. Rows that share id and text share their findings; rows without an id are
     scanned too. Other columns are not read. An empty table gives no rows.
@@ -99,26 +105,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     for kind, _, pattern in WEAK:
         found = located(found, "text", pattern, f"at_{kind}")
     parts = found.select("id", "mark", F.explode(F.concat("base", *[_spans(k) for k, _, _ in WEAK])).alias("x")).select("id", "mark", "x.s", "x.k", "x.e").distinct()
-    is_part = {p: F.col("k").isin(*[ORDER[k] for k, q in PART.items() if q == p]) for p in ("identifier", "secret")}
-    ahead = Window.partitionBy("id", "mark").orderBy("s", "k", "e").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("id", "mark").orderBy("s", "k", "e").rowsBetween(1, Window.unboundedFollowing)
-    strong_end = F.max(F.when(F.col("k") < len(BASE), F.col("e"))).over(ahead)
-    strong_start = F.min(F.when(F.col("k") < len(BASE), F.col("s"))).over(after)
-    near = {
-        p: (F.coalesce(F.max(F.when(is_part[p], F.col("e"))).over(ahead) + scope >= F.col("s"), F.lit(False)))
-        | (F.coalesce(F.min(F.when(is_part[p], F.col("s"))).over(after) - scope <= F.col("e"), F.lit(False)))
-        for p in is_part
-    }
-    linked = parts.select(
-        "*", near["identifier"].alias("by_id"), near["secret"].alias("by_secret"),
-        (F.coalesce(strong_end > F.col("s"), F.lit(False)) | F.coalesce(strong_start < F.col("e"), F.lit(False))).alias("within_strong"),
-    )
-    needs = F.when(is_part["identifier"], F.col("by_secret")).when(is_part["secret"], F.col("by_id")).otherwise(F.col("by_id") & F.col("by_secret"))
-    reported = linked.where((F.col("k") >= len(BASE)) & ~F.col("within_strong") & needs)
-    per_text = reported.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("weak"))
-    per_text = per_text.select(F.col("id").alias("weak_id"), F.col("mark").alias("weak_mark"), "weak")
+    per_text = written(_linked(parts, scope), "linked-secrets").groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "identifier", "secret"))).alias("links"))
+    per_text = per_text.select(F.col("id").alias("weak_id"), F.col("mark").alias("weak_mark"), "links")
     out = staged.select("id", "mark", "base").join(per_text, F.col("id").eqNullSafe(F.col("weak_id")) & (F.col("mark") == F.col("weak_mark")), "left")
-    return out.select(F.col("id").alias(id_col), "base", F.coalesce("weak", F.array().cast(SPAN)).alias("weak"))
+    links = F.coalesce("links", F.array().cast(f"array<struct<s:int,k:int,e:int,identifier:{_ONE},secret:{_ONE}>>"))
+    return out.select(F.col("id").alias(id_col), "base", F.transform(links, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("weak"), links.alias("links"))
+
+
+def _linked(parts: DataFrame, scope: int) -> DataFrame:
+    """Weak parts of ``id, mark, s, k, e`` that have their complements within ``scope``: with the nearest ``identifier`` and ``secret``."""
+    size = max(1, scope)
+    is_part = lambda p: F.col("k").isin(*[ORDER[k] for k, q in PART.items() if q == p])
+    pieces = lambda low, high: F.sequence(F.floor(F.greatest(low, F.lit(0)) / size).cast("int"), F.floor(high / size).cast("int"))
+    weak = parts.where(F.col("k") >= len(BASE)).withColumn("touched", pieces(F.col("s") - scope, F.col("e") + scope))
+    weak = weak.withColumn("own_piece", F.col("touched")[0]).select("id", "mark", "s", "k", "e", "own_piece", F.explode("touched").alias("piece"))
+    near = parts.where(is_part("identifier") | is_part("secret")).withColumn("touched", pieces(F.col("s"), F.col("e")))
+    near = near.select(
+        F.col("id").alias("near_id"), F.col("mark").alias("near_mark"), F.struct("s", "k", "e").alias("x"), is_part("identifier").alias("names"), F.col("touched")[0].alias("near_piece"),
+        F.explode("touched").alias("at_piece"),
+    )
+    meet = F.col("id").eqNullSafe(F.col("near_id")) & (F.col("mark") == F.col("near_mark")) & (F.col("piece") == F.col("at_piece"))
+    within = (F.col("x.s") <= F.col("e") + scope) & (F.col("x.e") >= F.col("s") - scope) & (F.struct("s", "k", "e") != F.col("x"))
+    pairs = weak.join(near, meet & (F.col("piece") == F.greatest("own_piece", "near_piece")) & within)
+    distance = F.struct(F.greatest(F.col("x.s") - F.col("e"), F.col("s") - F.col("x.e"), F.lit(0)).alias("d"), F.col("x").alias("x"))
+    found = pairs.groupBy("id", "mark", "s", "k", "e").agg(
+        F.min(F.when(F.col("names"), distance))["x"].alias("identifier"), F.min(F.when(~F.col("names"), distance))["x"].alias("secret"),
+        F.max((F.col("x.k") < len(BASE)) & (F.col("x.s") < F.col("e")) & (F.col("s") < F.col("x.e"))).alias("within_strong"),
+    )
+    needs = F.when(is_part("identifier"), F.col("secret").isNotNull()).when(is_part("secret"), F.col("identifier").isNotNull())
+    return found.where(~F.col("within_strong") & needs.otherwise(F.col("identifier").isNotNull() & F.col("secret").isNotNull())).drop("within_strong")
 
 
 def spelled(spans: Column) -> Column:

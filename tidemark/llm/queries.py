@@ -34,10 +34,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     rollup.commit("delete-toxic", token_rollup.deletes(counts.join(toxic, "doc_id", "left_semi")))
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    # a text without repeated lines keeps its counts: only changed texts are counted again, before ids are joined
+    # a text without repeated lines keeps its counts: changed rows alone are counted, as they were and as they are, before ids are joined
     unique_lines = docs.withColumn("unique_text", F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n")).where("unique_text <> text")
-    revised = written(token_rollup.measured(unique_lines, text_col="unique_text"), "revised-counts").join(poor, "doc_id", "left_semi")
-    rollup.commit("revise-poor", token_rollup.revisions(counts.join(revised.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi"), revised))
+    both = unique_lines.select("doc_id", "source", "lang", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), "text"), F.struct(F.lit(1).alias("sign"), F.col("unique_text").alias("text")))).alias("v"))
+    both = both.select(F.struct("doc_id", "v.sign").alias("row"), "source", "lang", "v.text")
+    revised = written(token_rollup.measured(both, id_col="row").select("row.*", *token_rollup.GROUP, "n_tokens"), "revised-counts").join(poor, "doc_id", "left_semi")
+    rollup.commit("revise-poor", token_rollup.revisions(revised.where("sign < 0"), revised.where("sign > 0")))
+    rollup.compact()
     return rollup.totals()
 
 

@@ -203,6 +203,19 @@ def test_history_replay_against_model(spark):
     assert got == model_history(commands)
 
 
+def test_lifecycle_details_survive_merges(spark):
+    rows = [("w", 1, "pending", "h", ["a"], {"x": {"p": "1"}}, "t1"), ("w", 2, "finalized", "h", ["b"], None, "t2"), ("w", 3, "pending", "g", ["q"], {"x": {"p": "2"}}, "t3"), ("w", 4, "pending", "g", [], {"x": {"r": "3"}}, "t4")]
+    c = spark.createDataFrame(rows, "wallet_id string, ord long, kind string, hash string, identifiers array<string>, sections map<string,map<string,string>>, at string")
+    entries = history.replay(history.with_detail(c, F.struct("at")).drop("at"))
+    got = {r.hash: (r.lifecycle, r.detail, r.problem, {k: dict(v) for k, v in r.sections.items()}) for r in history.details(entries).collect()}
+    assert got["h"] == ("finalized", '{"at":"t2"}', None, {"x": {"p": "1"}, history.DETAIL: {"pending": '{"at":"t1"}', "finalized": '{"at":"t2"}'}})
+    assert got["g"][:3] == ("pending", '{"at":"t4"}', None) and got["g"][3]["x"] == {"p": "2", "r": "3"}
+    assert [r.problem for r in history.details(history.replay(c.drop("at"))).collect()] == ["SERIALIZATION_FAILED"] * 2
+    assert history.claimed_details(c).count() == 0 and history.claimed_details(history.with_detail(c, F.struct("at"))).count() == 4
+    names = spark.createDataFrame([(x,) for x in ("success", "partialSuccess", "failure", "toString")], "s string").select(history.adapter_status(F.col("s")))
+    assert [r[0] for r in names.collect()] == ["SUCCESS", "PARTIAL_SUCCESS", "FAILURE", None]
+
+
 def test_section_merges(spark):
     row = spark.sql("SELECT map('s', map('a', 1, 'b', 2), 'only', map('z', 9)) AS a, map('s', map('b', 3, 'c', 4), 'new', map('y', 8)) AS b, map('f', 1) AS c, map('f', 2, 'g', 3) AS d")
     r = row.select(history.merge_sections(F.col("a"), F.col("b")).alias("x"), history.merge_facts(F.col("c"), F.col("d")).alias("y")).first()

@@ -143,3 +143,30 @@ STATUS = {"SUCCESS": "success", "PARTIAL_SUCCESS": "partialSuccess", "FAILURE":
 
 def map_status(c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair]), c)
+
+
+def adapter_status(c: Column) -> Column:
+    """The adapter's name of a stored status; null if there is none."""
+    return F.element_at(F.create_map(*[F.lit(x) for name, stored in STATUS.items() for x in (stored, name)]), c)
+
+
+#: The section that keeps what an adapter knows of a lifecycle beyond its name.
+DETAIL = "lifecycle_detail"
+
+
+def with_detail(commands: DataFrame, detail: Column) -> DataFrame:
+    """Commands whose ``sections`` hold ``detail``, a struct, as JSON under their kind. Merges keep one detail a kind, the last."""
+    own = F.create_map(F.lit(DETAIL), F.create_map("kind", F.to_json(detail)))
+    old = F.coalesce("sections", F.create_map().cast("map<string,map<string,string>>")) if "sections" in commands.columns else F.create_map().cast("map<string,map<string,string>>")
+    return commands.withColumn("sections", F.map_concat(F.map_filter(old, lambda k, _: k != DETAIL), own))
+
+
+def claimed_details(commands: DataFrame) -> DataFrame:
+    """Commands that bring a section of the reserved name themselves."""
+    return commands.where(F.map_contains_key("sections", DETAIL))
+
+
+def details(entries: DataFrame) -> DataFrame:
+    """Entries with the ``detail`` of their present lifecycle, and ``problem`` where it is missing."""
+    out = entries.withColumn("detail", F.element_at(F.element_at("sections", F.lit(DETAIL)), F.col("lifecycle")))
+    return out.withColumn("problem", F.when(F.col("detail").isNull(), "SERIALIZATION_FAILED"))

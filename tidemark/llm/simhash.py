@@ -200,7 +200,7 @@ def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
 
 
 #: Min-hashes of a band, and bands: of pairs at a similarity of 0.8 one in 500 shares no band. Further keys that split a large band.
-ROWS, BANDS, FURTHER = 4, 12, 8
+ROWS, BANDS, FURTHER = 4, 12, 6
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,8 +286,10 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
     """Edges ``a < b`` over ``mark`` of ``mark, text``: pairs of distinct texts whose shingle sets have that Jaccard similarity.
 
     Candidates share a band of min-hashes. A band of over ``max_bucket`` texts is split by further min-hashes, and where that leaves
-    as many, each is compared with the first of them; it meets others in its other bands. All candidates are verified. A text of over
-    ``hub`` candidates is broadcast to them if it is of at most 64 KB (1000 texts at most).
+    as many, each is compared with the first of them; it meets others in its other bands. In ``SPANNING`` rounds one candidate of
+    each text is verified, the least, and candidates that are linked by then, however indirectly, are left out: the components are
+    those of all candidates, but copies by the thousand are verified once, not with one another. What is left is verified
+    without exception. A text of over ``hub`` candidates is broadcast to them if it is of at most 64 KB (1000 texts at most).
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -330,27 +332,23 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
     met = written(scan(sketches.mapInArrow(banded, "key long, mark long"), False), "bands")
     hot = met.where("b is null").select(F.col("a").alias("mark"), "key").join(sketches, "mark").mapInArrow(split, "key long, mark long")
     pairs = met.where("b is not null").select("a", "b").unionByName(scan(hot, True).select("a", "b")).distinct()
-    # the sketches tell most of the others: an estimate this far below has odds of one in thousands
     pairs = written(pairs, "similar-pairs")
 
     def meeting(left: DataFrame, right: DataFrame, value: str, most: int, fits=None) -> DataFrame:
-        """``left`` with the value of ``right`` (one row a ``mark``) for ``a``, the side that may be a star's centre, and for ``b``."""
+        """``left`` with the value of ``right`` (one row a ``mark``) for ``b``, and for ``a``, the side that may be a star's centre."""
         sizes = left.groupBy("a").agg(F.count("*").alias("n"))
         first = right.select(F.col("mark").alias("a"), F.col(value).alias(f"{value}_a")).join(sizes, "a")
         second = right.select(F.col("mark").alias("b"), F.col(value).alias(f"{value}_b"))
-        return joined(left, first, "a", "n", hub, most, fits).join(second, "b").select("a", "b", f"{value}_a", f"{value}_b")
+        return joined(left.join(second, "b"), first, "a", "n", hub, most, fits).select("a", "b", f"{value}_a", f"{value}_b")
 
     def likely(batches):
+        # an estimate this far below has odds of one in thousands
         for batch in batches:
             same = (rows_of(batch.column(2)) == rows_of(batch.column(3))).mean(axis=1) if batch.num_rows else np.zeros(0)
-            kept = pa.array(np.flatnonzero(same >= similarity - 0.2))
+            kept = pa.array(np.flatnonzero(same >= similarity - 0.2), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
-    pairs = written(meeting(pairs, sketches, "rows", 100_000).mapInArrow(likely, "a long, b long"), "similar-candidates")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    whole = written(texts.select("mark", "text").join(named, "mark", "left_semi").dropDuplicates(["mark"]), "similar-texts")
-
-    def verified(batches):
+    def alike(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 one, two = (np.unique(_shingles_of(batch.column(i)[at].as_py(), shingle)) for i in (2, 3))
@@ -358,7 +356,31 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
                 if both >= similarity * (len(one) + len(two) - both) - 1e-9:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1)], ["a", "b"])
 
-    return meeting(pairs, whole, "text", 1000, F.octet_length("text_a") <= 1 << 16).mapInArrow(verified, "a long, b long")
+    def verified(chosen: DataFrame) -> DataFrame:
+        some = written(meeting(chosen, sketches, "rows", 100_000).mapInArrow(likely, "a long, b long"), "similar-candidates")
+        named = some.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+        whole = written(texts.select("mark", "text").join(named, "mark", "left_semi").dropDuplicates(["mark"]), "similar-texts")
+        return written(meeting(some, whole, "text", 1000, F.octet_length("text_a") <= 1 << 16).mapInArrow(alike, "a long, b long"), "similar-edges")
+
+    edges = None
+    for _ in range(SPANNING):
+        chosen = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-chosen")
+        found = verified(chosen)
+        edges = found if edges is None else edges.unionByName(found)
+        # marks stand for themselves where nothing links them
+        root = components(edges, hub=hub).select(F.col("node").alias("mark"), "root")
+        left = pairs.join(chosen, ["a", "b"], "left_anti")
+        sizes = left.groupBy("a").agg(F.count("*").alias("n"))
+        roots = [sizes.join(root.withColumnRenamed("mark", "a"), "a", "left").select("a", "n", F.coalesce("root", "a").alias("root_a")), root.select(F.col("mark").alias("b"), F.col("root").alias("root_b"))]
+        left = joined(left, written(roots[0], "similar-roots"), "a", "n", hub).join(roots[1], "b", "left")
+        pairs = written(left.where(F.col("root_a") != F.coalesce("root_b", "b")).select("a", "b"), "similar-pairs")
+        if not pairs.limit(1).count():
+            return edges
+    return edges.unionByName(verified(pairs))
+
+
+#: Rounds in which one candidate of each text is verified, before all that are still apart are.
+SPANNING = 2
 
 
 def _shingles_of(text: str | None, shingle: int) -> np.ndarray:

@@ -47,6 +47,8 @@ def joined(left: DataFrame, right: DataFrame, on: str, weight: str, least: int =
     ``fits`` on rows of ``right`` bounds the size of what is broadcast.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
+    if total <= least:
+        return left.join(right, on)
     is_hot = F.col(weight) > max(least, total // most)
     is_hot = is_hot if fits is None else F.coalesce(is_hot & fits, F.lit(False))
     hot = right.where(is_hot)

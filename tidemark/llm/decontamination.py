@@ -165,18 +165,20 @@ def latent_terms(rows: DataFrame, idf: np.ndarray, n: int, step: int, rank: int,
     # a task's sketch has one size: few tasks with much text each, rather than one for every small file
     size = words.agg(F.sum(F.length("words"))).first()[0] or 0
     tasks = max(2 * spark.sparkContext.defaultParallelism, size >> 28)
-    test = np.zeros((TERMS, width))
-    column, sign = _test_matrix(width, seed)
-    test[np.arange(TERMS), column] = sign
-    z = _added(words.coalesce(tasks).mapInArrow(sketch, "segment int, part binary"), test.shape)
+    z = _added(words.coalesce(tasks).mapInArrow(sketch, "segment int, part binary"), (TERMS, width))
     if not z.any():
         return np.zeros((TERMS + 1, rank), np.float32)
-    core = test.T @ z
-    core = (core + core.T) / 2
-    values, vectors = np.linalg.eigh(core)
+    column, sign = _test_matrix(width, seed)
+    core = np.stack([sign[column == k] @ z[column == k] for k in range(width)])
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > values[-1] * 1e-9
-    u, s, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    u, s = u[:, :rank], s[:rank]
+    # the left singular vectors of a tall matrix, from its small square
+    z = z @ (vectors[:, good] / np.sqrt(values[good]))
+    squares, turn = np.linalg.eigh(z.T @ z)
+    best = np.argsort(-squares)[:rank]
+    best = best[squares[best] > squares.max() * 1e-12]
+    s = np.sqrt(squares[best])
+    u = z @ (turn[:, best] / s)
     out = np.zeros((TERMS + 1, rank), np.float32)
     out[:TERMS, : u.shape[1]] = idf[:, None] * u / np.maximum(s, s[0] * 1e-6) * np.sqrt(max(n, 1))
     return out

@@ -94,6 +94,20 @@ def test_temporal_laws(spark, rows, cut):
         assert r.state == "unavailable" if r.key in model and r.value != model[r.key] else r.value == model.get(r.key)
 
 
+def test_gaps_in_time_with_shared_versions(spark):
+    at = lambda i: None if i is None else T + timedelta(seconds=i)
+    # key, version, valid_from, valid_to, and whether that isn't where the next begins
+    rows = [
+        ("a", 3, 2, 9, True), ("a", 3, 1, 2, False), ("a", 4, 4, None, False),  # two share a number: the later follows
+        ("b", 1, 1, 1, True), ("b", 1, 1, 3, False), ("b", 2, 3, None, False),  # the beginning, too: both are followed by 2
+        ("c", 1, 5, 5, False), ("c", 1, 5, None, False),
+    ]
+    for order in (rows, rows[::-1]):
+        v = spark.createDataFrame([("n", "s", k, "x", n, at(lo), at(hi)) for k, n, lo, hi, _ in order], "ns string, scope string, key string, value string, version long, valid_from timestamp, valid_to timestamp")
+        got = sorted((r.key, r.version, r.valid_from, r.valid_to) for r in temporal.gaps_in_time(v.repartition(3)).collect())
+        assert got == sorted((k, n, at(lo), at(hi)) for k, n, lo, hi, bad in rows if bad)
+
+
 def test_buckets_do_not_change_versions(spark, sf):
     p = plans.fx.puts(spark, sf)
     columns = [*temporal.KEY, "value", "version", "valid_from", "valid_to"]

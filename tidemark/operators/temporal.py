@@ -193,9 +193,15 @@ def version_summary(vers: DataFrame) -> DataFrame:
 
 
 def gaps_in_time(vers: DataFrame) -> DataFrame:
-    """Versions whose interval doesn't end where the next begins."""
-    following = F.lead("valid_from").over(Window.partitionBy(*KEY).orderBy("version"))
-    return vers.withColumn("next_from", following).where("next_from is not null and (valid_to is null or valid_to <> next_from)")
+    """Versions whose interval doesn't end where the next begins.
+
+    Of versions that share a number the later one follows; rows that share the beginning, too, are all followed by what comes after them.
+    """
+    at = F.struct("version", "valid_from")
+    lead = F.lead(at).over(Window.partitionBy(*KEY).orderBy("version", "valid_from"))
+    ahead = vers.withColumn("_ahead", F.when(lead != at, lead["valid_from"]))
+    following = F.max("_ahead").over(Window.partitionBy(*KEY, "version", "valid_from"))
+    return ahead.withColumn("next_from", following).where("next_from is not null and (valid_to is null or valid_to <> next_from)").drop("_ahead")
 
 
 def prune_prefix(vers: DataFrame, n: int) -> DataFrame:

@@ -528,6 +528,27 @@ def test_similar_texts_against_all_pairs(spark, max_bucket):
     assert len(joined_by(got) ^ joined_by(want)) <= (0 if max_bucket == 32 else 4)
 
 
+def test_similar_texts_lose_no_link_in_large_buckets(spark):
+    # chains of copies, each like its neighbours alone, and texts that share a passage and no more: keys of many texts that aren't all alike
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=30)
+    texts = [" ".join(rng.choices(words, k=20) + passage + rng.choices(words, k=20)) for _ in range(40)]
+    for _ in range(4):
+        link = rng.choices(words, k=100)
+        for _ in range(45):
+            link = link[2:] + rng.choices(words, k=2) if rng.random() < 0.7 else link[12:] + rng.choices(words, k=12)
+            texts.append(" ".join(link))
+    marked = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("mark"), "text")
+    sets = {r.mark: shingle_set(r.text) for r in marked.collect()}
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.8 - 1e-12}
+    groups = {frozenset(g) for g in _groups(sets, want)}
+    assert 60 < len(groups) < len(sets) - 60
+    for max_bucket in (2, 8):
+        got = {(r.a, r.b) for r in simhash.similar(marked, max_bucket=max_bucket).collect()}
+        assert got <= want and {frozenset(g) for g in _groups(sets, got)} == groups
+
+
 def _groups(nodes, edges):
     root = {n: n for n in nodes}
 

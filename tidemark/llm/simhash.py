@@ -12,7 +12,7 @@ fingerprints, never with the square of a group.
 
 Two bits hold copies that are all but equal. Texts whose five-word shingles have a Jaccard similarity of 0.8 differ in some ten bits,
 where segments of a 64-bit fingerprint don't select any more, so ``drop_near_duplicates`` finds these another way where it is
-asked to: bands of min-hashes give candidates, and every candidate pair is verified on its whole shingle sets.
+asked to: by the prefix filter, which is exact, and every candidate pair is verified on its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -199,9 +199,8 @@ def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     return marked.join(losers, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(mark)), "left_anti").drop(own)
 
 
-#: Min-hashes of a band, and bands: of pairs at a similarity of 0.8 one in 500 shares no band. Further keys that split a large band.
-ROWS, BANDS, FURTHER = 4, 12, 6
-
+#: One text in so many tells which shingles are frequent; words that a worker gathers before it sends them on; bytes of text a bin.
+LOOKED_AT, GATHERED, BIN_BYTES = 16, 1 << 20, 1 << 24
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``shingle`` lower-cased words of each row (of fewer words: all of them), and each row's first."""
@@ -219,133 +218,269 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple
     return out, bag
 
 
-def _sketch(hashes: np.ndarray, bag: np.ndarray) -> np.ndarray:
-    """Least values of each row's shingles under ``ROWS * BANDS`` orders, 32 bits each; rows without shingles are left out."""
-    rng = np.random.default_rng(7)
-    some = bag[:-1][np.diff(bag) > 0]
-    out = np.zeros((len(some), ROWS * BANDS), np.uint32)
-    for k, (a, b) in enumerate(rng.integers(0, 1 << 63, (ROWS * BANDS, 2), dtype=np.uint64).tolist()):
-        out[:, k] = np.minimum.reduceat(hashes * np.uint64(2 * a + 1 & (1 << 64) - 1) + np.uint64(b), some) >> np.uint64(32) if len(some) else 0
-    return out
+def prefix_size(n: int, similarity: float) -> int:
+    """How many of ``n`` shingles, the first in any order of all, two similar sets can't both have without one in common."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def _pair_scan(max_bucket: int, stars: bool):
-    """Reads ``key, mark`` sorted: all pairs of small buckets; a larger one's rows (``b`` null), or with ``stars`` its pairs with its first."""
+def _sets(batches, shingle: int):
+    """``row's mark, its distinct shingle hashes in ascending order`` for all rows that have words."""
+    for batch in batches:
+        marks = batch.column(0).to_numpy()
+        data, offsets = text_buffers(batch.column(1))
+        for lo, hi in slices(offsets):
+            hashes, bag = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
+            for row in np.flatnonzero(np.diff(bag)).tolist():
+                yield marks[lo + row], np.unique(hashes[bag[row] : bag[row + 1]])
 
-    def batch(a, b, key):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], ["a", "b", "key"])
 
-    def scan(batches):
-        carried = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        large = None  # key and first mark of a bucket too large to be held
+def _in_bins(similarity: float, shingle: int, bins: int, frequent):
+    """Reads ``mark, text``: packed prefixes by bin, and, in bins under zero, what the packed row numbers stand for.
 
-        def found(key, mark):
-            nonlocal large
-            if not len(key):
-                return
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(head, len(key)))
-            goes_on = large is not None and key[0] == large[0]
-            hot = size > max_bucket
-            hot[0] |= goes_on
-            centre = mark[head]
-            if goes_on:
-                centre[0] = large[1]
-            is_hot = np.repeat(hot, size)
-            if stars:
-                c = np.repeat(centre, size)[is_hot]
-                m = mark[is_hot]
-                yield batch(np.minimum(c, m)[c != m], np.maximum(c, m)[c != m], key[is_hot][c != m])
-            else:
-                yield batch(mark[is_hot], pa.nulls(int(is_hot.sum()), pa.int64()), key[is_hot])
-            k, m = key[~is_hot], mark[~is_hot]
-            for d in range(1, min(max_bucket, len(k))):
-                at = np.flatnonzero(k[d:] == k[:-d])
-                if not len(at):
-                    break
-                yield batch(m[at], m[at + d], k[at])
+    A packed shingle is 40 bits of its key and 24 of its row's number: 8 bytes, where a Spark row takes three times that.
+    """
 
+    def packed(batches):
+        late = np.frombuffer(frequent.value, np.uint64)
+        keys, marks, sizes, held = [], [], [], 0
+
+        def sent():
+            mark, size = np.array(marks, np.int64), np.array(sizes, np.int64)
+            row = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(k) for k in keys])
+            key = mix(np.concatenate(keys))
+            source = int(mix(mark.view(np.uint64) + mix(np.arange(len(mark), dtype=np.uint64))).sum(dtype=np.uint64).astype(np.int64))
+            bin_of = ((key & np.uint64(0xFFFFFF)) % np.uint64(bins)).astype(np.int64)
+            cell = key >> np.uint64(24) << np.uint64(24) | row
+            order = np.lexsort((cell, bin_of))
+            cell, bin_of = cell[order], bin_of[order]
+            there, first = np.unique(bin_of, return_index=True)
+            last = np.append(first[1:], len(cell))
+            blobs = [cell[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+            names = np.concatenate([mark, size]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), -1 - source % bins], pa.int64()), pa.array([source] * (len(blobs) + 1), pa.int64()), pa.array([*blobs, names], pa.binary())], ["bin", "source", "cells"])
+
+        for mark, hashes in _sets(batches, shingle):
+            n = len(hashes)
+            if len(late):
+                is_late = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+                hashes = np.concatenate([hashes[~is_late], hashes[is_late]])
+            keys.append(hashes[: prefix_size(n, similarity)].copy())
+            marks.append(mark)
+            sizes.append(n)
+            held += len(keys[-1])
+            if held >= GATHERED or len(keys) >= 1 << 23:
+                yield from sent()
+                keys, marks, sizes, held = [], [], [], 0
+        if keys:
+            yield from sent()
+
+    return packed
+
+
+def _shared(bins: int):
+    """Reads ``bin, source, cells`` sorted by bin: ``key, source, row`` of keys that several rows have; ``mark, size`` of each row (``key`` null)."""
+
+    def batch(key, source, row, mark, size):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in (key, source, row, mark, size)], ["key", "source", "row", "mark", "size"])
+
+    def met(at, sources, cells):
+        if at < 0:
+            for source, raw in zip(sources, cells, strict=True):
+                mark, size = np.frombuffer(raw, np.int64).reshape(2, -1)
+                yield batch(pa.nulls(len(mark), pa.int64()), np.full(len(mark), source), np.arange(len(mark)), mark, size)
+            return
+        cell = np.concatenate([np.frombuffer(c, np.uint64) for c in cells])
+        source = np.repeat(np.array(sources, np.int64), [len(c) // 8 for c in cells])
+        key = cell >> np.uint64(24)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        at_all = order[several]
+        none = pa.nulls(len(at_all), pa.int64())
+        yield batch((key[several].astype(np.int64) << 22) | at, source[at_all], (cell[at_all] & np.uint64(0xFFFFFF)).astype(np.int64), none, none)
+
+    def scan(batches):
+        at, sources, cells = None, [], []
         for rows in batches:
-            key, mark = (np.concatenate([c, rows.column(i).to_numpy()]) for i, c in enumerate(carried))
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            if len(key) - last > max_bucket or large is not None and key[-1] == large[0]:
-                first = large[1] if large is not None and key[-1] == large[0] else mark[last]
-                yield from found(key, mark)
-                large, carried = (key[-1], first), (key[:0], mark[:0])
-            else:
-                yield from found(key[:last], mark[:last])
-                large, carried = None, (key[last:], mark[last:])
-        yield from found(*carried)
+            for b, source, raw in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+                if b != at and cells:
+                    yield from met(at, sources, cells)
+                    sources, cells = [], []
+                at = b
+                sources.append(source)
+                cells.append(raw)
+        if cells:
+            yield from met(at, sources, cells)
 
     return scan
 
 
-def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bucket: int = 32, hub: int = 50_000) -> DataFrame:
-    """Edges ``a < b`` over ``mark`` of ``mark, text``: pairs of distinct texts whose shingle sets have that Jaccard similarity.
-
-    Candidates share a band of min-hashes. A band of over ``max_bucket`` texts is split by further min-hashes, and where that leaves
-    as many, each is compared with the first of them; it meets others in its other bands. In ``SPANNING`` rounds one candidate of
-    each text is verified, the least, and candidates that are linked by then, however indirectly, are left out: the components are
-    those of all candidates, but copies by the thousand are verified once, not with one another. What is left is verified
-    without exception. A text of over ``hub`` candidates is broadcast to them if it is of at most 64 KB (1000 texts at most).
+def _overlaps(sets: list[np.ndarray]):
+    """A function of ``i`` that gives how many values each of ``sets`` has in common with the ``i``-th, by lists of who has a value."""
+    bag = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(at, minlength=len(values))
+    first = np.cumsum(count) - count
+    holders = np.repeat(np.arange(len(sets)), np.diff(bag))[np.argsort(at, kind="stable")]
+
+    def of(i: int) -> np.ndarray:
+        own = at[bag[i] : bag[i + 1]]
+        own = own[count[own] > 1]
+        n = count[own]
+        return np.bincount(holders[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+
+    return of
+
+
+def _by_root(root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, by root with the largest last, and for each row in it where the next root begins."""
+    _, name, size = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((name, size[name]))
+    own = name[order]
+    ends = np.flatnonzero(np.append(own[1:] != own[:-1], True)) + 1
+    return order, np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+
+
+def _buckets(batches, names: list[str], of):
+    """Batches of what ``of(key, columns)`` gives for the rows of each key, of batches sorted by the first column."""
+    held = None
+    for rows in batches:
+        rows = pa.Table.from_batches([rows])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        key = held.column(0).to_numpy()
+        if not len(key) or key[0] == key[-1]:
+            continue
+        last = int(np.searchsorted(key, key[-1]))
+        yield from _flushed(held.slice(0, last), key[:last], names, of)
+        held = held.slice(last)
+    if held is not None and len(held):
+        yield from _flushed(held, held.column(0).to_numpy(), names, of)
+
+
+def _flushed(held: pa.Table, key: np.ndarray, names: list[str], of):
+    edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    held = held.combine_chunks()
+    found = [x for lo, hi in zip(edges[:-1], edges[1:], strict=True) if (x := of(int(key[lo]), [held.column(i).slice(lo, hi - lo) for i in range(1, held.num_columns)])) is not None]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names)
+
+
+def _possible(similarity: float, one: np.ndarray, two: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """If texts of ``one`` and ``two`` shingles can be similar where their prefixes have ``both`` in common.
+
+    One of the two prefixes reaches less far in the order; its text has nothing in common with the other beyond ``both`` and what isn't in it.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def sketched(batches):
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
-                hashes, bag = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
-                rows = np.flatnonzero(np.diff(bag) > 0)
-                raw = [x.tobytes() for x in _sketch(hashes, bag)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(raw, pa.binary())], ["mark", "rows"])
+    reach = lambda n: np.ceil(similarity * n - 1e-9) - 1  # noqa: E731  what isn't in the prefix
+    sizes = np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-9
+    return sizes & (both + np.maximum(reach(one), reach(two)) >= similarity / (1 + similarity) * (one + two) - 1e-6)
+
+
+def _partners(similarity: float):
+    """Reads ``key, root, mark, keys`` sorted by key: ``key, root, mark`` of texts with a partner of another root that they can be similar
+    to, under the least key that the two have in common. A row for each text, not for each pair."""
+
+    def of(key, columns):
+        root, mark = columns[0].to_numpy(), columns[1].to_numpy()
+        order, later = _by_root(root)
+        if later[0] == len(order):
+            return None
+        every = columns[2].combine_chunks() if isinstance(columns[2], pa.ChunkedArray) else columns[2]
+        sets = [every[i].values.to_numpy() for i in order.tolist()]
+        size = np.array([x[0] for x in sets])
+        all_of = _overlaps([x[1:] for x in sets])
+        less_of = _overlaps([x[1:][x[1:] < key] for x in sets])
+        wanted = np.zeros(len(order), bool)
+        for i in range(len(order)):
+            if later[i] == len(order):
+                break
+            fits = _possible(similarity, size, size[i], all_of(i)) & (less_of(i) == 0)
+            fits[: later[i]] = False
+            wanted |= fits
+            wanted[i] |= fits.any()
+        order = order[wanted]
+        return (np.full(len(order), key), root[order], mark[order]) if len(order) else None
+
+    return lambda batches: _buckets(batches, ["key", "root", "mark"], of)
+
+
+def _compared(similarity: float, shingle: int):
+    """Reads ``key, root, mark, text`` sorted by key: edges ``a, b`` that connect the similar texts of a key that aren't linked."""
+
+    def of(key, columns):
+        root, mark = columns[0].to_numpy(), columns[1].to_numpy()
+        order, later = _by_root(root)
+        if later[0] == len(order):
+            return None
+        sets = [np.unique(_shingles_of(columns[2][i].as_py(), shingle)) for i in order.tolist()]
+        size, mark = np.array([len(x) for x in sets]), mark[order]
+        linked = np.unique(root[order], return_inverse=True)[1]
+        both_of = _overlaps(sets)
+        found = []
+        for i in range(len(order)):
+            if later[i] == len(order):
+                break
+            both = both_of(i)
+            alike = (both >= similarity * (size + size[i] - both) - 1e-9) & (linked != linked[i])
+            to, at = np.unique(linked[alike], return_index=True)
+            if len(to):
+                found.append((np.full(len(at), mark[i]), mark[np.flatnonzero(alike)[at]]))
+                linked[np.isin(linked, to)] = linked[i]
+        if not found:
+            return None
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    return lambda batches: _buckets(batches, ["a", "b"], of)
 
-    sketches = written(texts.select("mark", "text").mapInArrow(sketched, "mark long, rows binary").dropDuplicates(["mark"]), "sketches")
 
-    def rows_of(col: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, ROWS * BANDS).astype(np.uint64)
+def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bucket: int = 32, hub: int = 50_000) -> DataFrame:
+    """Edges ``a < b`` over ``mark`` of ``mark, text`` between distinct texts whose shingle sets have that Jaccard similarity.
 
-    def keys_of(rows: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        return mix(rows + mix(salt.astype(np.uint64)))
+    Their components are those of all such pairs; pairs that are linked already, however indirectly, are left out. Two similar sets
+    have a shingle in common among the first fifth of each (:func:`prefix_size`) in one order of all shingles. These prefixes are
+    shuffled once, packed, and texts that share a key are candidates. The order is that of the hashes, with shingles last that over
+    some ``2 * max_bucket`` texts seem to have; which these are, is told from some of the texts and changes no result.
 
-    def banded(batches):
-        for batch in batches:
-            rows, mark = rows_of(batch.column(1)), batch.column(0)
-            for band in range(BANDS):
-                key = np.full(len(rows), band, np.uint64)
-                for k in range(ROWS):
-                    key = keys_of(rows[:, band * ROWS + k], key)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), mark], ["key", "mark"])
-
-    def split(batches):
-        for batch in batches:
-            rows, mark, key = rows_of(batch.column(2)), batch.column(0), batch.column(1).to_numpy().view(np.uint64)
-            own = key % np.uint64(ROWS * BANDS)
-            for k in range(FURTHER):
-                column = ((own + np.uint64(k * 5 + 1)) % np.uint64(ROWS * BANDS)).astype(np.int64)
-                further = keys_of(rows[np.arange(len(rows)), column], mix(key) + np.uint64(k))
-                yield pa.RecordBatch.from_arrays([pa.array(further.view(np.int64)), mark], ["key", "mark"])
-
-    scan = lambda keyed, stars: keyed.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(_pair_scan(max_bucket, stars), "a long, b long, key long")
-    met = written(scan(sketches.mapInArrow(banded, "key long, mark long"), False), "bands")
-    hot = met.where("b is null").select(F.col("a").alias("mark"), "key").join(sketches, "mark").mapInArrow(split, "key long, mark long")
-    pairs = met.where("b is not null").select("a", "b").unionByName(scan(hot, True).select("a", "b")).distinct()
-    pairs = written(pairs, "similar-pairs")
-
-    def meeting(left: DataFrame, right: DataFrame, value: str, most: int, fits=None) -> DataFrame:
+    First each key's texts are compared with one of them, and keys whose texts are all linked by then go, so copies by the thousand are
+    not compared with one another. Of what is left all pairs of texts that aren't linked are compared, without exception, within the
+    task that has the key, and no pair becomes a row: prefixes tell which can't be similar, the others are verified on whole texts.
+    A text of over ``hub`` candidates is broadcast to them if it is of at most 64 KB (1000 texts at most).
+    """
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.select("mark", "text")
+    bins = min(max(parts, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BIN_BYTES), 1 << 21)
+
+    def begins(batches):
+        for mark, hashes in _sets(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[: 2 * prefix_size(len(hashes), similarity)].view(np.int64))], ["h"])
+
+    seen = texts.where(F.pmod("mark", F.lit(LOOKED_AT)) == 0).mapInArrow(begins, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    late = seen.where(F.col("n") >= max(2, 2 * max_bucket // LOOKED_AT)).orderBy(F.desc("n"), "h").limit(100_000).select("h").toArrow().column(0).to_numpy()
+    frequent = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)).tobytes())
+
+    packed = texts.mapInArrow(_in_bins(similarity, shingle, bins, frequent), "bin long, source long, cells binary")
+    met = written(packed.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(_shared(bins), "key long, source long, row long, mark long, size long"), "shared-keys")
+    names = met.where("key is null").select("source", "row", "mark", "size").distinct()
+    rows = written(met.where("key is not null").select("key", "source", "row").join(names, ["source", "row"]).select("key", "mark", "size").distinct(), "shared-rows")
+    sets = written(rows.groupBy("mark").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("key")).alias("keys")).select("mark", F.concat(F.array("size"), "keys").alias("keys")), "shared-sets")
+
+    def meeting(left: DataFrame, right: DataFrame, value: str, fits) -> DataFrame:
         """``left`` with the value of ``right`` (one row a ``mark``) for ``b``, and for ``a``, the side that may be a star's centre."""
         sizes = left.groupBy("a").agg(F.count("*").alias("n"))
         first = right.select(F.col("mark").alias("a"), F.col(value).alias(f"{value}_a")).join(sizes, "a")
         second = right.select(F.col("mark").alias("b"), F.col(value).alias(f"{value}_b"))
-        return joined(left.join(second, "b"), first, "a", "n", hub, most, fits).select("a", "b", f"{value}_a", f"{value}_b")
+        return joined(left.join(second, "b"), first, "a", "n", hub, 1000, fits).select("a", "b", f"{value}_a", f"{value}_b")
 
-    def likely(batches):
-        # an estimate this far below has odds of one in thousands
+    def possible(batches):
         for batch in batches:
-            same = (rows_of(batch.column(2)) == rows_of(batch.column(3))).mean(axis=1) if batch.num_rows else np.zeros(0)
-            kept = pa.array(np.flatnonzero(same >= similarity - 0.2), pa.int64())
+            kept = []
+            for at in range(batch.num_rows):
+                one, two = (batch.column(i)[at].values.to_numpy() for i in (2, 3))
+                if _possible(similarity, one[0], two[0], len(np.intersect1d(one[1:], two[1:], assume_unique=True))):
+                    kept.append(at)
+            kept = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
     def alike(batches):
@@ -356,31 +491,26 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
                 if both >= similarity * (len(one) + len(two) - both) - 1e-9:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1)], ["a", "b"])
 
-    def verified(chosen: DataFrame) -> DataFrame:
-        some = written(meeting(chosen, sketches, "rows", 100_000).mapInArrow(likely, "a long, b long"), "similar-candidates")
+    def verified(pairs: DataFrame) -> DataFrame:
+        some = written(meeting(pairs, sets, "keys", F.size("keys_a") <= 1 << 13).mapInArrow(possible, "a long, b long"), "similar-candidates")
         named = some.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-        whole = written(texts.select("mark", "text").join(named, "mark", "left_semi").dropDuplicates(["mark"]), "similar-texts")
-        return written(meeting(some, whole, "text", 1000, F.octet_length("text_a") <= 1 << 16).mapInArrow(alike, "a long, b long"), "similar-edges")
-
-    edges = None
-    for _ in range(SPANNING):
-        chosen = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "similar-chosen")
-        found = verified(chosen)
-        edges = found if edges is None else edges.unionByName(found)
-        # marks stand for themselves where nothing links them
-        root = components(edges, hub=hub).select(F.col("node").alias("mark"), "root")
-        left = pairs.join(chosen, ["a", "b"], "left_anti")
-        sizes = left.groupBy("a").agg(F.count("*").alias("n"))
-        roots = [sizes.join(root.withColumnRenamed("mark", "a"), "a", "left").select("a", "n", F.coalesce("root", "a").alias("root_a")), root.select(F.col("mark").alias("b"), F.col("root").alias("root_b"))]
-        left = joined(left, written(roots[0], "similar-roots"), "a", "n", hub).join(roots[1], "b", "left")
-        pairs = written(left.where(F.col("root_a") != F.coalesce("root_b", "b")).select("a", "b"), "similar-pairs")
-        if not pairs.limit(1).count():
-            return edges
-    return edges.unionByName(verified(pairs))
-
-
-#: Rounds in which one candidate of each text is verified, before all that are still apart are.
-SPANNING = 2
+        whole = written(texts.join(named, "mark", "left_semi").dropDuplicates(["mark"]), "similar-texts")
+        return written(meeting(some, whole, "text", F.octet_length("text_a") <= 1 << 16).mapInArrow(alike, "a long, b long"), "similar-edges")
+
+    centres = rows.groupBy("key").agg(F.min("mark").alias("centre"), F.count("*").alias("n"))
+    met = joined(rows, written(centres, "centres"), "key", "n", hub).where("mark <> centre")
+    edges = verified(written(met.select(F.col("centre").alias("a"), F.col("mark").alias("b")).distinct(), "similar-pairs"))
+    root = components(edges, hub=hub).select(F.col("node").alias("mark"), "root")
+    # marks stand for themselves where nothing links them
+    rooted = written(rows.join(root, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root")), "similar-roots")
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most and n > 2")
+    live = written(joined(rooted, written(several, "apart-keys"), "key", "n", hub).select("key", "root", "mark"), "apart-rows")
+    by_key = lambda x: x.repartition(parts, "key").sortWithinPartitions("key", "mark")
+    wanted = by_key(live.join(sets, "mark").select("key", "root", "mark", "keys")).mapInArrow(_partners(similarity), "key long, root long, mark long")
+    wanted = written(wanted, "apart-wanted")
+    whole = texts.join(wanted.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    found = by_key(wanted.join(whole, "mark").select("key", "root", "mark", "text")).mapInArrow(_compared(similarity, shingle), "a long, b long")
+    return edges.unionByName(written(found, "similar-edges"))
 
 
 def _shingles_of(text: str | None, shingle: int) -> np.ndarray:

@@ -236,6 +236,20 @@ def test_threshold_comes_from_good_and_bad_rows():
     assert alone < both < scores[~is_good].min() and (scores[is_good] <= both).mean() >= 0.995
 
 
+def test_rules_are_learned_from_all_labelled_rows(spark):
+    n = 12_000
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", k), F.lit(5000)).cast("string"))), " ")
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("text", F.concat(words, F.expr("repeat(' ! | #', cast(doc_id % 40 = 0 as int) * 20)")))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 40 == 0, 0).otherwise(1).alias("quality"))
+    forest = quality_rules.learn(docs, labels)
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    seen = quality_rules.measured(docs).join(labels, "doc_id").where((F.col("quality") == 0) | (F.pmod(order, F.lit(2)) == 1)).select("quality", "features").collect()
+    x, good = np.array([r.features for r in seen], np.float32), np.array([r.quality == 1 for r in seen])
+    assert len(seen) > 5000 and forest.size == 256 and len(forest.feature) == 128
+    found = forest.threshold
+    assert abs(quality_rules.calibrated(forest, x, good).threshold - found) < 1e-12
+
+
 def test_rules_hold_on_rows_that_taught_nothing(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     taught = (F.col("doc_id") % 3 != 0) & F.col("quality").isNotNull()

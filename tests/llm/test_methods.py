@@ -563,6 +563,15 @@ def test_similar_texts_lose_no_link_in_large_buckets(spark):
         assert got <= want and {frozenset(g) for g in _groups(sets, got)} == groups
 
 
+def test_no_pair_at_the_bound_is_lost(spark):
+    # 45 shingles each, 40 in common: a similarity of 0.8 and no more; bands of min-hashes lose about one such pair in 500
+    rng = random.Random(5)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(k, " ".join(t)) for k in range(2500) for base in [draw(49)] for t in (base, base[5:] + draw(5))]
+    marked = spark.createDataFrame(rows, "k long, text string").select("k", F.xxhash64("text").alias("mark"), "text")
+    assert simhash.similar(marked.select("mark", "text")).select("a", "b").distinct().count() == 2500
+
+
 def _groups(nodes, edges):
     root = {n: n for n in nodes}
 

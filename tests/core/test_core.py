@@ -674,3 +674,31 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_bundle_in_slices_is_the_bundle(spark, tmp_path):
+    t = spark.range(300).selectExpr("'n' AS net", "id % 3 AS height", "concat('b', id % 40) AS block_hash", "concat('t', id * 7 % 90) AS tx_hash", "id % 11 AS position", "id AS ord")
+    b, o = t.select(*archive.BLOCK, "ord"), t.select(*archive.BLOCK, F.col("position").alias("observation_index"), "ord")
+    twice = [x.withColumn("ord", F.explode(F.array("ord", F.col("ord") + 1000))) for x in (b, t, o)]
+    kept = {}
+    for rows in (200, 1 << 23):
+        log = Log(spark, f"file://{tmp_path}/{rows}")
+        for _ in range(2):
+            with log.transaction() as tx:
+                archive.put_bundle(tx, *twice, slice_rows=rows)
+        kept[rows] = [sorted(map(tuple, log.read(name, x.schema).collect())) for name, x in zip(("blocks", "transactions", "observations"), (b, t, o), strict=True)]
+        assert len(log.folders("blocks")) == (6 if rows == 200 else 2)
+    assert kept[200] == kept[1 << 23]
+    assert kept[200][1] == sorted(map(tuple, archive.put_transactions(t, ["ord"]).collect()))
+
+
+def test_an_append_leaves_no_shuffle_files(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {os.path.join(d, x) for top in disk.localDirsString() for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    before = shuffled()
+    with Log(spark, f"file://{tmp_path}/log").transaction() as tx:
+        tx.append("t", spark.range(100_000).groupBy((F.col("id") % 999).alias("k")).count())
+    until = time.monotonic() + 10
+    while shuffled() - before and time.monotonic() < until:  # they go in the background
+        time.sleep(0.1)
+    assert not shuffled() - before

@@ -34,6 +34,8 @@ def first_wins(batch: DataFrame, key: list[str], order: list[str], stored: DataF
     """Rows of a batch that a first-write-wins insert keeps: the first of each key, unless it is stored."""
     fresh = batch.join(stored.select(*key), key, "left_anti") if stored is not None else batch
     others = [c for c in batch.columns if c not in key]
+    if others == order and len(order) == 1:  # a hash aggregate, which combines before the shuffle without sorting
+        return fresh.groupBy(*key).agg(F.min(order[0]).alias(order[0]))
     first = fresh.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("r"))
     return first.select(*key, *[F.col(f"r.{c}").alias(c) for c in others])
 
@@ -69,16 +71,28 @@ def put_transactions(batch: DataFrame, order: list[str], stored: DataFrame | Non
     return ordered_fold(rows.withColumn("is_new", ~F.col("is_stored")), BLOCK, ["is_new", *order], lambda: {"hashes": set(), "positions": set()}, step, schema, drop=["is_new"])
 
 
-def put_bundle(tx, blocks: DataFrame, transactions: DataFrame, observations: DataFrame, order: str = "ord") -> None:
+def slice_of(df: DataFrame, k: int, n: int) -> DataFrame:
+    """The rows of the ``k``-th of ``n`` slices; all rows of a block are in one."""
+    return df if n == 1 else df.where(F.pmod(F.xxhash64(*BLOCK), F.lit(n)) == k)
+
+
+def put_bundle(tx, blocks: DataFrame, transactions: DataFrame, observations: DataFrame, order: str = "ord", slice_rows: int = 1 << 23) -> None:
     """All three in one commit of a :class:`~tidemark.control.commit.Transaction`; a retry of the same bundle adds nothing.
 
     Each insert is first-write-wins against what is stored and within the batch, in ``order``: blocks by block, transactions by
-    hash and by position, observations by index.
+    hash and by position, observations by index. Every key lies in one block, so a bundle of over ``slice_rows`` rows of a table is
+    staged in slices of its blocks, and what a slice has shuffled goes before the next. The frames are read once a slice.
     """
-    tx.append("blocks", first_wins(blocks, BLOCK, [order], tx.read("blocks", blocks.schema)).select(*blocks.columns))
-    tx.append("transactions", put_transactions(transactions, [order], tx.read("transactions", transactions.schema)))
-    key = [*BLOCK, "observation_index"]
-    tx.append("observations", first_wins(observations, key, [order], tx.read("observations", observations.schema)).select(*observations.columns))
+    n = max(1, -(-max(x.count() for x in (blocks, transactions, observations)) // slice_rows))
+    for k in range(n):
+        new = {name: slice_of(x, k, n) for name, x in (("blocks", blocks), ("transactions", transactions), ("observations", observations))}
+        held = {name: slice_of(tx.read(name, x.schema), k, n) for name, x in new.items()}
+        tx.append("blocks", first_wins(new["blocks"], BLOCK, [order], held["blocks"]).select(*blocks.columns))
+        # a row with hash and position of one before it never stays: copies needn't reach the fold
+        once = first_wins(new["transactions"], [*BLOCK, "tx_hash", "position"], [order]).select(*transactions.columns)
+        tx.append("transactions", put_transactions(once, [order], held["transactions"]))
+        seen = first_wins(new["observations"], [*BLOCK, "observation_index"], [order], held["observations"])
+        tx.append("observations", seen.select(*observations.columns).repartition(*BLOCK).sortWithinPartitions(*BLOCK))
 
 
 def verifier_keys(seen: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..control.commit import Log
-from ..control.files import shared_dir
+from ..control.files import Files, freed_shuffles, shared_dir, write_once
 from ..control.stores import CheckpointStore
 from ..operators import archive, checkpoint, cursors, envelope, history, temporal
 from ..sources import fixtures as fx
@@ -565,16 +565,24 @@ def chain_put_transactions(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'observations', count(*), count(*) FROM (SELECT DISTINCT block_hash, position FROM T)""")
 def chain_put_bundle(spark: SparkSession, d: str) -> DataFrame:
     """CA-5: blocks, transactions and observations in one commit; each bundle holds all rows twice, and is sent twice."""
-    log = Log(spark, f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}")
-    b = fx.blocks(spark, d).select(*archive.BLOCK, "ord")
-    order = F.row_number().over(Window.partitionBy(*archive.BLOCK).orderBy("l_partkey", "l_suppkey", "l_shipdate")).cast("long")
-    t = fx.transactions(spark, d).withColumn("ord", order).select(*archive.BLOCK, "tx_hash", "position", "ord")
+    log, lines = Log(spark, f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"), Files(spark, f"{shared_dir(spark)}/bundle-lines-{uuid.uuid4().hex}")
+    write_once(fx.numbered_lines(spark, d), lines.at("rows"))  # numbers take a tenth of their hashes' room
+    raw = lambda number: F.unhex(F.sha2(F.col(number).cast("string"), 256))
+    b = fx.blocks(spark, d).select("net", "height", raw("ord").alias("block_hash"), "ord")
+    t = spark.read.parquet(lines.at("rows")).select(F.lit(fx.NET).alias("net"), "height", raw("l_orderkey").alias("block_hash"), raw("l_partkey").alias("tx_hash"), "position", "ord")
     o = t.select(*archive.BLOCK, F.col("position").alias("observation_index"), "ord")
     for _ in range(2):
         with log.transaction() as tx:
-            archive.put_bundle(tx, *(x.unionByName(x.withColumn("ord", F.col("ord") + 1_000_000_000)) for x in (b, t, o)))
-    count = lambda name, frame, last: log.read(name, frame.schema).agg(F.count("*").alias("n"), F.count_distinct("block_hash", *last).alias("distinct_n")).select(F.lit(name).alias("table"), "n", "distinct_n")
-    return count("blocks", b, []).unionByName(count("transactions", t, ["position"])).unionByName(count("observations", o, ["observation_index"]))
+            archive.put_bundle(tx, *(x.withColumn("ord", F.explode(F.array("ord", F.col("ord") + 1_000_000_000))) for x in (b, t, o)))
+    lines.delete("rows")
+    counts = []
+    with freed_shuffles(spark):
+        for name, frame, last in (("blocks", b, []), ("transactions", t, ["position"]), ("observations", o, ["observation_index"])):
+            rows = log.read(name, frame.schema)
+            n = max(1, rows.count() >> 23)
+            found = [archive.slice_of(rows, k, n).agg(F.count("*"), F.count_distinct("block_hash", *last)).first() for k in range(n)]
+            counts.append((name, sum(x[0] for x in found), sum(x[1] for x in found)))
+    return spark.createDataFrame(counts, "table string, n long, distinct_n long")
 
 
 @query(f"WITH {T} SELECT height, block_hash, position AS observation_index, arg_min(l_suppkey, (l_partkey, l_suppkey, l_shipdate)) AS l_suppkey FROM T GROUP BY ALL")

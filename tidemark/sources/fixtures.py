@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
@@ -67,6 +67,14 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`transactions` are made of, before any hash: ``height, l_orderkey, l_partkey, position`` and ``ord``, 1, 2, ... in a block."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    b = blocks(spark, sf_dir).select("height", F.col("ord").alias("l_orderkey"))
+    order = F.row_number().over(Window.partitionBy("l_orderkey", "height").orderBy("l_partkey", "l_suppkey", "l_shipdate"))
+    return li.join(b, "l_orderkey").select("height", "l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("position"), order.cast("long").alias("ord"))
+
+
 def cursor_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor sets of ``events``: a JSON height, which now and then falls back."""
     e = read(spark, sf_dir, "events")

@@ -602,3 +602,19 @@ def test_the_pipelines_near_duplicates_are_similar(spark):
     # what stays holds no two alike; what went is like something that was there
     assert alike and not [p for p in alike if p[0] in kept and p[1] in kept]
     assert kept < close and close - kept == {b for g in _groups(close, alike) for b in g if b != min(g)}
+
+
+def test_near_duplicates_leave_only_the_ids_that_go(spark, monkeypatch):
+    """In slices, too, the same stays; no copy of the texts is left."""
+    from tidemark.control.files import Files, shared_dir
+
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(words[i * 30 : i * 30 + 60]) for i in range(12)]
+    texts += [f"{t} extra{i}" for i, t in enumerate(texts[:5])] + texts[:2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    there = Files(spark, shared_dir(spark))
+    monkeypatch.setattr(simhash, "SLICE", 1 << 11)
+    before = set(there.names("."))
+    out = simhash.drop_near_duplicates(docs, similarity=0.8)
+    assert {x.rsplit("-", 1)[0] for x in set(there.names(".")) - before} <= {"near-copies", "similar-copies"}
+    assert {r.doc_id for r in out.collect()} == set(range(12))

@@ -17,13 +17,16 @@ asked to: by the prefix filter, which is exact, and every candidate pair is veri
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, joined, slices, text_buffers, written
+from ..control.files import freed_shuffles
+from .common import discard, free_name, joined, slices, text_buffers, written
 from .tokens import ASCII_LOWER, mix, span_hashes, word_spans
 
 
@@ -119,17 +122,19 @@ def links(points: DataFrame, max_bucket: int = 32) -> DataFrame:
     around = hot.repartition(parts, "fp").select("fp", ball.alias("point"))
     centre = around.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
     starred = around.join(centre, "point").where("fp > a").select("a", F.col("fp").alias("b"))
-    return found.where("b is not null").unionByName(starred).distinct()
+    edges = written(found.where("b is not null").unionByName(starred).distinct(), "links")
+    discard(found)
+    return edges
 
 
 def components(edges: DataFrame, rounds: int = 50, hub: int = 50_000) -> DataFrame:
     """``node, root`` for every node of an edge: its component's smallest node.
 
     Alternating large-star and small-star steps, each a shuffle of the edges with map-side minima; every round is
-    checkpointed and their number grows with the logarithm of the longest chain. The minima of nodes of over ``hub`` edges are
+    written, in place of the one before, and their number grows with the logarithm of the longest chain. The minima of nodes of over ``hub`` edges are
     broadcast, so a star's edges never meet in one task.
     """
-    edges = checkpointed(edges.select("a", "b"))
+    edges = written(edges.select("a", "b"), "edges")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -137,10 +142,14 @@ def components(edges: DataFrame, rounds: int = 50, hub: int = 50_000) -> DataFra
         large = joined(both, least, "a", "n", hub).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
         small = joined(large, down, "b", "n", hub).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
-        edges = checkpointed(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        old, edges = edges, written(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            stars = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            found = written(stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()), "roots")
+            discard(edges)
+            return found
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
@@ -153,20 +162,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id of their component, null if it has none. Repeated rows stay. An empty table gives no rows. Other columns are not
     read. Fingerprints of over ``hub`` rows, and components of over ``hub`` fingerprints, are joined by broadcast.
     """
-    found = _named(docs, id_col, text_col, shingle, max_bucket, hub)
+    found, _ = _named(docs, id_col, text_col, shingle, max_bucket, hub)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bucket: int, hub: int) -> DataFrame:
-    """``id, mark`` (hash of the text)``, fp, component_id`` and the component's least ``mark``, a row for each of ``docs``."""
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bucket: int, hub: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``id, mark`` (hash of the text)``, fp, component_id`` and the component's least ``mark``, a row for each of ``docs``; tables it reads."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     fp = written(fingerprints(rows, "text", "fp", shingle), "fingerprints")
     points = written(fp.groupBy("fp").agg(F.min("id").alias("least"), F.min("mark").alias("least_mark"), F.count("*").alias("rows")), "fingerprint-points")
-    reach = checkpointed(components(links(points.select("fp"), max_bucket), hub=hub))
+    edges = links(points.select("fp"), max_bucket)
+    reach = components(edges, hub=hub)
     ids = written(points.join(reach, points["fp"] == reach["node"], "left").select("fp", "least", "least_mark", "rows", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
-    roots = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_mark").alias("component_mark"), F.count("*").alias("points"))
-    named = joined(ids.select("fp", "rows", "root"), written(roots, "component-ids"), "root", "points", hub)
-    return joined(fp, named.select("fp", "component_id", "component_mark", "rows"), "fp", "rows", hub)
+    discard(points, edges, reach)
+    roots = written(ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_mark").alias("component_mark"), F.count("*").alias("points")), "component-ids")
+    named = joined(ids.select("fp", "rows", "root"), roots, "root", "points", hub)
+    return joined(fp, named.select("fp", "component_id", "component_mark", "rows"), "fp", "rows", hub), [fp, ids, roots]
 
 
 def drop_near_duplicates(
@@ -179,28 +190,42 @@ def drop_near_duplicates(
     component has a smaller id. A row without an id goes if its component has one; of a component without ids one text
     stays. Repeated rows stay together. Null and empty texts are one component. An empty table gives no rows.
     """
-    out = _without(docs, _named(docs, id_col, text_col, shingle, max_bucket, hub), id_col, text_col)
     if similarity is None:
-        return out
-    left = written(out, "fingerprints-apart")
-    rows = left.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
-    reach = checkpointed(components(similar(rows.select("mark", "text"), similarity, similar_shingle, max_bucket, hub), hub=hub))
-    named = rows.select("id", "mark").join(reach.withColumnRenamed("node", "mark"), "mark")
-    roots = named.groupBy("root").agg(F.min("id").alias("component_id"), F.min("mark").alias("component_mark"), F.count("*").alias("rows"))
-    return _without(left, joined(named, written(roots, "similar-ids"), "root", "rows", hub), id_col, text_col)
+        return _without(docs, _losers(_named(docs, id_col, text_col, shingle, max_bucket, hub)[0]), id_col, text_col)
+    with freed_shuffles(docs.sparkSession):
+        found, held = _named(docs, id_col, text_col, shingle, max_bucket, hub)
+        gone = written(_losers(found), "near-copies")
+        discard(*held)
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = written(_without(docs.select(id_col, text_col), gone, id_col, text_col).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text")), "fingerprints-apart")
+        edges = similar(rows.select("mark", "text"), similarity, similar_shingle, max_bucket, hub)
+        reach = components(edges, hub=hub)
+        named = rows.select("id", "mark").join(reach.withColumnRenamed("node", "mark"), "mark")
+        roots = written(named.groupBy("root").agg(F.min("id").alias("component_id"), F.min("mark").alias("component_mark"), F.count("*").alias("rows")), "similar-ids")
+        more = written(_losers(joined(named, roots, "root", "rows", hub)), "similar-copies")
+        discard(rows, edges, reach, roots)
+    return _without(docs, gone.unionByName(more), id_col, text_col)
+
+
+def _losers(found: DataFrame) -> DataFrame:
+    """``gone, gone_mark`` of the rows of ``found`` (``id, mark, component_id, component_mark``) that another row of their component stands for."""
+    nameless = F.col("id").isNull() & (F.col("component_id").isNotNull() | (F.col("mark") > F.col("component_mark")))
+    return found.where(nameless | (F.col("id") > F.col("component_id"))).select(F.col("id").alias("gone"), F.col("mark").alias("gone_mark")).distinct()
 
 
-def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the rows of ``found`` (``id, mark, component_id, component_mark``) that another row of their component stands for."""
+def _without(docs: DataFrame, losers: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without ``losers``."""
     gone, mark, own = free_name(docs, "gone_id", "gone_mark", "text_mark")
-    nameless = F.col("id").isNull() & (F.col("component_id").isNotNull() | (F.col("mark") > F.col("component_mark")))
-    losers = found.where(nameless | (F.col("id") > F.col("component_id"))).select(F.col("id").alias(gone), F.col("mark").alias(mark)).distinct()
+    losers = losers.select(F.col("gone").alias(gone), F.col("gone_mark").alias(mark))
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return marked.join(losers, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(mark)), "left_anti").drop(own)
 
 
 #: One text in so many tells which shingles are frequent; words that a worker gathers before it sends them on; bytes of text a bin.
 LOOKED_AT, GATHERED, BIN_BYTES = 16, 1 << 20, 1 << 24
+#: What is compared key by key is shuffled in slices of keys, each of at most this part of the texts' bytes.
+SLICE = 2
+
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``shingle`` lower-cased words of each row (of fewer words: all of them), and each row's first."""
@@ -450,7 +475,8 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select("mark", "text")
-    bins = min(max(parts, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BIN_BYTES), 1 << 21)
+    whole_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bins = min(max(parts, whole_bytes // BIN_BYTES), 1 << 21)
 
     def begins(batches):
         for mark, hashes in _sets(batches, shingle):
@@ -464,6 +490,7 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
     met = written(packed.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(_shared(bins), "key long, source long, row long, mark long, size long"), "shared-keys")
     names = met.where("key is null").select("source", "row", "mark", "size").distinct()
     rows = written(met.where("key is not null").select("key", "source", "row").join(names, ["source", "row"]).select("key", "mark", "size").distinct(), "shared-rows")
+    discard(met)
     sets = written(rows.groupBy("mark").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("key")).alias("keys")).select("mark", F.concat(F.array("size"), "keys").alias("keys")), "shared-sets")
 
     def meeting(left: DataFrame, right: DataFrame, value: str, fits) -> DataFrame:
@@ -495,22 +522,45 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
         some = written(meeting(pairs, sets, "keys", F.size("keys_a") <= 1 << 13).mapInArrow(possible, "a long, b long"), "similar-candidates")
         named = some.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
         whole = written(texts.join(named, "mark", "left_semi").dropDuplicates(["mark"]), "similar-texts")
-        return written(meeting(some, whole, "text", F.octet_length("text_a") <= 1 << 16).mapInArrow(alike, "a long, b long"), "similar-edges")
+        found = written(meeting(some, whole, "text", F.octet_length("text_a") <= 1 << 16).mapInArrow(alike, "a long, b long"), "similar-edges")
+        discard(pairs, some, whole)
+        return found
 
-    centres = rows.groupBy("key").agg(F.min("mark").alias("centre"), F.count("*").alias("n"))
-    met = joined(rows, written(centres, "centres"), "key", "n", hub).where("mark <> centre")
+    centres = written(rows.groupBy("key").agg(F.min("mark").alias("centre"), F.count("*").alias("n")), "centres")
+    met = joined(rows, centres, "key", "n", hub).where("mark <> centre")
     edges = verified(written(met.select(F.col("centre").alias("a"), F.col("mark").alias("b")).distinct(), "similar-pairs"))
-    root = components(edges, hub=hub).select(F.col("node").alias("mark"), "root")
+    discard(centres)
+    reach = components(edges, hub=hub)
+    root = reach.select(F.col("node").alias("mark"), "root")
     # marks stand for themselves where nothing links them
     rooted = written(rows.join(root, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root")), "similar-roots")
-    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most and n > 2")
-    live = written(joined(rooted, written(several, "apart-keys"), "key", "n", hub).select("key", "root", "mark"), "apart-rows")
-    by_key = lambda x: x.repartition(parts, "key").sortWithinPartitions("key", "mark")
-    wanted = by_key(live.join(sets, "mark").select("key", "root", "mark", "keys")).mapInArrow(_partners(similarity), "key long, root long, mark long")
-    wanted = written(wanted, "apart-wanted")
-    whole = texts.join(wanted.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
-    found = by_key(wanted.join(whole, "mark").select("key", "root", "mark", "text")).mapInArrow(_compared(similarity, shingle), "a long, b long")
-    return edges.unionByName(written(found, "similar-edges"))
+    discard(rows, reach)
+    several = written(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most and n > 2"), "apart-keys")
+    live = written(joined(rooted, several, "key", "n", hub).select("key", "root", "mark"), "apart-rows")
+    discard(rooted, several)
+
+    def by_slices(left: DataFrame, right: DataFrame, value: str, size, run, schema: str) -> list[DataFrame]:
+        """What ``run`` makes of ``left`` with the value of its mark in ``right``, sorted by key: a table for each slice of the keys."""
+        moved = left.join(right.select("mark", size.alias("_size")), "mark").agg(F.sum("_size")).first()[0] or 0
+        n = max(1, -(-moved * SLICE // max(whole_bytes, 1 << 24)))
+        out = []
+        for k in range(n):
+            some = left.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).join(right, "mark").select("key", "root", "mark", value)
+            out.append(written(some.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(run, schema), "apart-slice"))
+        return out
+
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        out = written(reduce(DataFrame.unionByName, tables), "apart-whole")
+        discard(*tables)
+        return out
+
+    wanted = all_of(by_slices(live, sets, "keys", 8 * F.size("keys"), _partners(similarity), "key long, root long, mark long"))
+    discard(live, sets)
+    whole = written(texts.join(wanted.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"]), "apart-texts")
+    found = by_slices(wanted, whole, "text", F.octet_length("text"), _compared(similarity, shingle), "a long, b long")
+    out = all_of([edges, *found])
+    discard(wanted, whole)
+    return out
 
 
 def _shingles_of(text: str | None, shingle: int) -> np.ndarray:

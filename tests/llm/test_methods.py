@@ -618,3 +618,58 @@ def test_near_duplicates_leave_only_the_ids_that_go(spark, monkeypatch):
     out = simhash.drop_near_duplicates(docs, similarity=0.8)
     assert {x.rsplit("-", 1)[0] for x in set(there.names(".")) - before} <= {"near-copies", "similar-copies"}
     assert {r.doc_id for r in out.collect()} == set(range(12))
+
+
+def test_texts_stay_where_they_are_when_some_are_left_out(spark, monkeypatch):
+    """However large Spark takes a list of ids to be: neither stage of the pipeline shuffles or keeps a copy of all texts."""
+    from tidemark.control.files import Files, shared_dir
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i * 30 : i * 30 + 60]) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *(f"{t} extra{i}" for i, t in enumerate(texts[:5])), texts[0]])), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, texts[7])], "item_id long, text string")
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    real, plans = simhash.written, {}
+
+    def seen(df, label):
+        plans[label] = plan_of(df)
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    there = Files(spark, shared_dir(spark))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        apart = simhash.drop_near_duplicates(docs, similarity=0.8)
+        before = set(there.names("."))
+        clean = decontamination.decontaminate(docs, bench)
+        assert {x.rsplit("-", 1)[0] for x in set(there.names(".")) - before} <= {"hits"}
+        for plan in (plan_of(apart), plan_of(clean), *(plans[x] for x in ("fingerprints-apart", "similar-texts", "apart-texts"))):
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert {r.doc_id for r in apart.collect()} == set(range(12))
+        assert {r.doc_id for r in clean.collect()} == set(range(18)) - {7}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_texts_that_cannot_be_similar_do_not_travel_by_key(spark, monkeypatch):
+    """Texts of very different lengths share a passage: their keys are sent nowhere. Those of one length that can be similar are found."""
+    passage, fresh = [f"p{i}" for i in range(40)], itertools.count()
+    grown = [" ".join(passage + [f"x{next(fresh)}" for _ in range(n)]) for n in (10, 40, 90, 180, 350)]
+    rows = {}
+    real = simhash.written
+
+    def seen(df, label):
+        out = real(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", seen)
+    marked = spark.createDataFrame(list(enumerate(grown)), "mark long, text string")
+    assert simhash.similar(marked).count() == 0
+    assert rows["apart-keys"][0] and rows["apart-rows"] == [0]
+    # by place, too: the passage is a ninth of each text, the order of the hashes is as good as drawn
+    even = [" ".join([f"y{next(fresh)}" for _ in range(160)] + passage[:24]) for _ in range(6)]
+    marked = spark.createDataFrame(list(enumerate([*even, even[4] + " end", even[5] + " end"])), "mark long, text string")
+    got = {(r.a, r.b) for r in simhash.similar(marked).collect()}
+    assert got == {(4, 6), (5, 7)}

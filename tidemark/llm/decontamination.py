@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, text_buffers, written
+from .common import discard, free_name, slices, text_buffers, to_all, written
 from .tokens import ASCII_LOWER, IS_BREAK, span_hashes, word_spans
 
 TERM_BITS = 16
@@ -69,8 +69,11 @@ def _added(partials: DataFrame, shape: tuple[int, ...], dtype: str = "<f8") -> n
             yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "part": [part.astype("<f4").tobytes()]})
 
     out = np.zeros((_SEGMENTS, int(np.prod(shape)) // _SEGMENTS), dtype)
-    for row in partials.repartition(parts, "segment").mapInArrow(add, "segment int, part binary").toLocalIterator():
+    # written, so that what the tasks gave goes from disk at once
+    sums = written(partials.repartition(parts, "segment").mapInArrow(add, "segment int, part binary"), "sums")
+    for row in sums.toLocalIterator():
         out[row["segment"]] = np.frombuffer(row["part"], "<f4")
+    discard(sums)
     return out.reshape(shape)
 
 
@@ -234,6 +237,11 @@ def contaminated(
     without an id take part. Items are compared in blocks of about ``block`` words. Empty tables give no rows. Other columns
     are not read.
     """
+    return _contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, answer_col, rank, min_cosine, same, paraphrase, answered, frequent, block)[0]
+
+
+def _contaminated(docs, benchmark, id_col, text_col, item_col="item_id", item_text_col="text", answer_col=None, rank=64, min_cosine=0.4, same=0.8, paraphrase=0.6, answered=0.75, frequent=0.002, block=1 << 20):
+    """:func:`contaminated`, and the table of words that it reads."""
     spark = docs.sparkSession
     items = _items(benchmark, item_col, item_text_col, answer_col)
     # half the length of the shortest items
@@ -247,10 +255,10 @@ def contaminated(
     words = rows.where("words is not null").select("words", "id", "mark")
     found = None
     for part in _blocks(items, block):
-        sent = spark.sparkContext.broadcast(Index.of(part, frequency, same, paraphrase))
-        pairs = words.mapInArrow(_searcher(terms, sent, min_cosine, same, paraphrase, answered, id_col, item_col, item_type), schema)
+        index = spark.sparkContext.broadcast(Index.of(part, frequency, same, paraphrase))
+        pairs = words.mapInArrow(_searcher(terms, index, min_cosine, same, paraphrase, answered, id_col, item_col, item_type), schema)
         found = pairs if found is None else found.unionByName(pairs)
-    return found
+    return found, rows
 
 
 def _blocks(items: list[Item], words: int) -> list[list[Item]]:
@@ -427,6 +435,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     stay; repeated rows go or stay together. Empty tables, and an empty benchmark, take nothing away.
     """
     gone_id, gone_mark = free_name(docs, "gone_id", "gone_mark")
-    hit = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    found, words = _contaminated(docs, benchmark, id_col, text_col, **options)
+    hit = to_all(written(found.select(F.col(id_col).alias(gone_id), F.col("mark").alias(gone_mark)).distinct(), "hits"))
+    discard(words)
     mark = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(hit, docs[id_col].eqNullSafe(hit[gone_id]) & (mark == hit[gone_mark]), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..control.files import freed_shuffles
-from .common import discard, free_name, joined, slices, text_buffers, written
+from .common import discard, free_name, joined, slices, text_buffers, to_all, written
 from .tokens import ASCII_LOWER, mix, span_hashes, word_spans
 
 
@@ -191,7 +191,7 @@ def drop_near_duplicates(
     stays. Repeated rows stay together. Null and empty texts are one component. An empty table gives no rows.
     """
     if similarity is None:
-        return _without(docs, _losers(_named(docs, id_col, text_col, shingle, max_bucket, hub)[0]), id_col, text_col)
+        return _without(docs, written(_losers(_named(docs, id_col, text_col, shingle, max_bucket, hub)[0]), "near-copies"), id_col, text_col)
     with freed_shuffles(docs.sparkSession):
         found, held = _named(docs, id_col, text_col, shingle, max_bucket, hub)
         gone = written(_losers(found), "near-copies")
@@ -214,9 +214,9 @@ def _losers(found: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, losers: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without ``losers``."""
+    """``docs`` without ``losers``, which are written."""
     gone, mark, own = free_name(docs, "gone_id", "gone_mark", "text_mark")
-    losers = losers.select(F.col("gone").alias(gone), F.col("gone_mark").alias(mark))
+    losers = to_all(losers.select(F.col("gone").alias(gone), F.col("gone_mark").alias(mark)))
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return marked.join(losers, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(mark)), "left_anti").drop(own)
 
@@ -262,7 +262,8 @@ def _sets(batches, shingle: int):
 def _in_bins(similarity: float, shingle: int, bins: int, frequent):
     """Reads ``mark, text``: packed prefixes by bin, and, in bins under zero, what the packed row numbers stand for.
 
-    A packed shingle is 40 bits of its key and 24 of its row's number: 8 bytes, where a Spark row takes three times that.
+    A packed shingle is 40 bits of its key and 24 of its row's number, and a byte for its place in the prefix, in 256ths rounded down:
+    9 bytes, where a Spark row takes three times that.
     """
 
     def packed(batches):
@@ -273,14 +274,15 @@ def _in_bins(similarity: float, shingle: int, bins: int, frequent):
             mark, size = np.array(marks, np.int64), np.array(sizes, np.int64)
             row = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(k) for k in keys])
             key = mix(np.concatenate(keys))
+            place = np.concatenate([np.arange(len(k)) * 256 // len(k) for k in keys]).astype(np.uint8)
             source = int(mix(mark.view(np.uint64) + mix(np.arange(len(mark), dtype=np.uint64))).sum(dtype=np.uint64).astype(np.int64))
             bin_of = ((key & np.uint64(0xFFFFFF)) % np.uint64(bins)).astype(np.int64)
             cell = key >> np.uint64(24) << np.uint64(24) | row
             order = np.lexsort((cell, bin_of))
-            cell, bin_of = cell[order], bin_of[order]
+            cell, bin_of, place = cell[order], bin_of[order], place[order]
             there, first = np.unique(bin_of, return_index=True)
             last = np.append(first[1:], len(cell))
-            blobs = [cell[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+            blobs = [cell[i:j].tobytes() + place[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
             names = np.concatenate([mark, size]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), -1 - source % bins], pa.int64()), pa.array([source] * (len(blobs) + 1), pa.int64()), pa.array([*blobs, names], pa.binary())], ["bin", "source", "cells"])
 
@@ -303,19 +305,20 @@ def _in_bins(similarity: float, shingle: int, bins: int, frequent):
 
 
 def _shared(bins: int):
-    """Reads ``bin, source, cells`` sorted by bin: ``key, source, row`` of keys that several rows have; ``mark, size`` of each row (``key`` null)."""
+    """Reads ``bin, source, cells`` sorted by bin: ``key, source, row, place`` of keys that several rows have; ``mark, size`` of each row (``key`` null)."""
 
-    def batch(key, source, row, mark, size):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in (key, source, row, mark, size)], ["key", "source", "row", "mark", "size"])
+    def batch(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in columns], ["key", "source", "row", "place", "mark", "size"])
 
     def met(at, sources, cells):
         if at < 0:
             for source, raw in zip(sources, cells, strict=True):
                 mark, size = np.frombuffer(raw, np.int64).reshape(2, -1)
-                yield batch(pa.nulls(len(mark), pa.int64()), np.full(len(mark), source), np.arange(len(mark)), mark, size)
+                yield batch(pa.nulls(len(mark), pa.int64()), np.full(len(mark), source), np.arange(len(mark)), pa.nulls(len(mark), pa.int64()), mark, size)
             return
-        cell = np.concatenate([np.frombuffer(c, np.uint64) for c in cells])
-        source = np.repeat(np.array(sources, np.int64), [len(c) // 8 for c in cells])
+        cell = np.concatenate([np.frombuffer(c, np.uint64, len(c) // 9) for c in cells])
+        place = np.concatenate([np.frombuffer(c, np.uint8, offset=len(c) // 9 * 8) for c in cells])
+        source = np.repeat(np.array(sources, np.int64), [len(c) // 9 for c in cells])
         key = cell >> np.uint64(24)
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -323,7 +326,7 @@ def _shared(bins: int):
         several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         at_all = order[several]
         none = pa.nulls(len(at_all), pa.int64())
-        yield batch((key[several].astype(np.int64) << 22) | at, source[at_all], (cell[at_all] & np.uint64(0xFFFFFF)).astype(np.int64), none, none)
+        yield batch((key[several].astype(np.int64) << 22) | at, source[at_all], (cell[at_all] & np.uint64(0xFFFFFF)).astype(np.int64), place[at_all].astype(np.int64), none, none)
 
     def scan(batches):
         at, sources, cells = None, [], []
@@ -401,9 +404,57 @@ def _possible(similarity: float, one: np.ndarray, two: np.ndarray, both: np.ndar
     return sizes & (both + np.maximum(reach(one), reach(two)) >= similarity / (1 + similarity) * (one + two) - 1e-6)
 
 
+def _meetable(similarity: float, one: np.ndarray, two: np.ndarray, place_one: np.ndarray, place_two: np.ndarray) -> np.ndarray:
+    """If texts of ``one`` and ``two`` shingles can be similar where a key at these places (256ths of a prefix) is the first of all that both have.
+
+    What they have in common then lies from there on, in either.
+    """
+    from_there = lambda n, place: n - np.ceil(place * (n - np.ceil(similarity * n - 1e-9) + 1) / 256 - 1e-9)
+    sizes = np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-9
+    return sizes & (np.minimum(from_there(one, place_one), from_there(two, place_two)) >= similarity / (1 + similarity) * (one + two) - 1e-6)
+
+
+def _meeting_centres(similarity: float):
+    """Reads ``a, b`` and ``size * 256 + place`` of both under a key: the pairs that may have it as the first of all in common."""
+
+    def fitting(batches):
+        for batch in batches:
+            one, two = (batch.column(i).to_numpy() for i in (2, 3))
+            at = pa.array(np.flatnonzero(_meetable(similarity, one >> 8, two >> 8, one & 255, two & 255)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return fitting
+
+
+def _near(similarity: float):
+    """Reads ``key, root, mark, cell`` sorted by key (``cell``: ``size * 256 + place``): ``key, root, mark`` of texts with a partner of
+    another root that may have this key as the first of all in common with them. The text of the least mark has been compared with all."""
+
+    def of(key, columns):
+        root, mark, cell = (columns[i].to_numpy() for i in range(3))
+        others = np.flatnonzero(mark != mark.min())
+        if not len(others):
+            return None
+        order, later = _by_root(root[others])
+        order = others[order]
+        size, place = cell[order] >> 8, cell[order] & 255
+        wanted = np.zeros(len(order), bool)
+        for i in range(len(order)):
+            if later[i] == len(order):
+                break
+            fits = _meetable(similarity, size[later[i] :], size[i], place[later[i] :], place[i])
+            wanted[later[i] :] |= fits
+            wanted[i] |= fits.any()
+        order = order[wanted]
+        return (np.full(len(order), key), root[order], mark[order]) if len(order) else None
+
+    return lambda batches: _buckets(batches, ["key", "root", "mark"], of)
+
+
 def _partners(similarity: float):
-    """Reads ``key, root, mark, keys`` sorted by key: ``key, root, mark`` of texts with a partner of another root that they can be similar
-    to, under the least key that the two have in common. A row for each text, not for each pair."""
+    """Reads ``key, root, mark, keys`` sorted by key (``keys``: how many of the text's keys have come so far, these, its size, all its keys):
+    ``key, root, mark`` of texts with a partner of another root that they can be similar to, under the least key under which both have
+    come so far. A row for each text, not for each pair."""
 
     def of(key, columns):
         root, mark = columns[0].to_numpy(), columns[1].to_numpy()
@@ -412,9 +463,10 @@ def _partners(similarity: float):
             return None
         every = columns[2].combine_chunks() if isinstance(columns[2], pa.ChunkedArray) else columns[2]
         sets = [every[i].values.to_numpy() for i in order.tolist()]
-        size = np.array([x[0] for x in sets])
-        all_of = _overlaps([x[1:] for x in sets])
-        less_of = _overlaps([x[1:][x[1:] < key] for x in sets])
+        here = [x[1 : 1 + x[0]] for x in sets]
+        size = np.array([x[1 + x[0]] for x in sets])
+        all_of = _overlaps([x[2 + x[0] :] for x in sets])
+        less_of = _overlaps([x[x < key] for x in here])
         wanted = np.zeros(len(order), bool)
         for i in range(len(order)):
             if later[i] == len(order):
@@ -470,6 +522,8 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
     First each key's texts are compared with one of them, and keys whose texts are all linked by then go, so copies by the thousand are
     not compared with one another. Of what is left all pairs of texts that aren't linked are compared, without exception, within the
     task that has the key, and no pair becomes a row: prefixes tell which can't be similar, the others are verified on whole texts.
+    Every pair counts only under keys that can be the first in the order that it has in common, which sizes and places tell (the
+    positional filter, exact as well): a text's keys are only sent to where such a pair is.
     A text of over ``hub`` candidates is broadcast to them if it is of at most 64 KB (1000 texts at most).
     """
     spark = texts.sparkSession
@@ -487,11 +541,12 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
     frequent = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)).tobytes())
 
     packed = texts.mapInArrow(_in_bins(similarity, shingle, bins, frequent), "bin long, source long, cells binary")
-    met = written(packed.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(_shared(bins), "key long, source long, row long, mark long, size long"), "shared-keys")
+    met = written(packed.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(_shared(bins), "key long, source long, row long, place long, mark long, size long"), "shared-keys")
     names = met.where("key is null").select("source", "row", "mark", "size").distinct()
-    rows = written(met.where("key is not null").select("key", "source", "row").join(names, ["source", "row"]).select("key", "mark", "size").distinct(), "shared-rows")
+    cell = (F.col("size") * 256 + F.col("place")).alias("cell")
+    rows = written(met.where("key is not null").select("key", "source", "row", "place").join(names, ["source", "row"]).select("key", "mark", cell).groupBy("key", "mark").agg(F.min("cell").alias("cell")), "shared-rows")
     discard(met)
-    sets = written(rows.groupBy("mark").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("key")).alias("keys")).select("mark", F.concat(F.array("size"), "keys").alias("keys")), "shared-sets")
+    sets = written(rows.groupBy("mark").agg(F.first(F.shiftright("cell", 8)).alias("size"), F.array_sort(F.collect_set("key")).alias("keys")).select("mark", F.concat(F.array("size"), "keys").alias("keys")), "shared-sets")
 
     def meeting(left: DataFrame, right: DataFrame, value: str, fits) -> DataFrame:
         """``left`` with the value of ``right`` (one row a ``mark``) for ``b``, and for ``a``, the side that may be a star's centre."""
@@ -518,26 +573,35 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
                 if both >= similarity * (len(one) + len(two) - both) - 1e-9:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1)], ["a", "b"])
 
+    def texts_of(marks: DataFrame, label: str) -> DataFrame:
+        marks = written(marks.distinct(), "marks")
+        found = written(texts.join(to_all(marks), "mark", "left_semi").dropDuplicates(["mark"]), label)
+        discard(marks)
+        return found
+
     def verified(pairs: DataFrame) -> DataFrame:
         some = written(meeting(pairs, sets, "keys", F.size("keys_a") <= 1 << 13).mapInArrow(possible, "a long, b long"), "similar-candidates")
-        named = some.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-        whole = written(texts.join(named, "mark", "left_semi").dropDuplicates(["mark"]), "similar-texts")
+        whole = texts_of(some.select(F.explode(F.array("a", "b")).alias("mark")), "similar-texts")
         found = written(meeting(some, whole, "text", F.octet_length("text_a") <= 1 << 16).mapInArrow(alike, "a long, b long"), "similar-edges")
         discard(pairs, some, whole)
         return found
 
-    centres = written(rows.groupBy("key").agg(F.min("mark").alias("centre"), F.count("*").alias("n")), "centres")
-    met = joined(rows, centres, "key", "n", hub).where("mark <> centre")
-    edges = verified(written(met.select(F.col("centre").alias("a"), F.col("mark").alias("b")).distinct(), "similar-pairs"))
+    centres = written(rows.groupBy("key").agg(F.min("mark").alias("centre"), F.min_by("cell", "mark").alias("its"), F.count("*").alias("n")).where("n > 1"), "centres")
+    met = joined(rows, centres, "key", "n", hub).where("mark <> centre").select(F.col("centre").alias("a"), F.col("mark").alias("b"), "its", "cell")
+    edges = verified(written(met.mapInArrow(_meeting_centres(similarity), "a long, b long").distinct(), "similar-pairs"))
     discard(centres)
     reach = components(edges, hub=hub)
     root = reach.select(F.col("node").alias("mark"), "root")
     # marks stand for themselves where nothing links them
-    rooted = written(rows.join(root, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root")), "similar-roots")
+    rooted = written(rows.join(root, "mark", "left").select("key", "mark", "cell", F.coalesce("root", "mark").alias("root")), "similar-roots")
     discard(rows, reach)
     several = written(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most and n > 2"), "apart-keys")
-    live = written(joined(rooted, several, "key", "n", hub).select("key", "root", "mark"), "apart-rows")
+    apart = joined(rooted, several, "key", "n", hub).select("key", "root", "mark", "cell")
+    live = written(apart.repartition(parts, "key").sortWithinPartitions("key", "mark").mapInArrow(_near(similarity), "key long, root long, mark long"), "apart-rows")
     discard(rooted, several)
+    here = live.groupBy("mark").agg(F.collect_set("key").alias("here"))
+    held = written(here.join(sets, "mark").select("mark", F.concat(F.array(F.size("here").cast("long")), "here", "keys").alias("keys")), "apart-sets")
+    discard(sets)
 
     def by_slices(left: DataFrame, right: DataFrame, value: str, size, run, schema: str) -> list[DataFrame]:
         """What ``run`` makes of ``left`` with the value of its mark in ``right``, sorted by key: a table for each slice of the keys."""
@@ -554,9 +618,9 @@ def similar(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, max_buc
         discard(*tables)
         return out
 
-    wanted = all_of(by_slices(live, sets, "keys", 8 * F.size("keys"), _partners(similarity), "key long, root long, mark long"))
-    discard(live, sets)
-    whole = written(texts.join(wanted.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"]), "apart-texts")
+    wanted = all_of(by_slices(live, held, "keys", 8 * F.size("keys"), _partners(similarity), "key long, root long, mark long"))
+    discard(live, held)
+    whole = texts_of(wanted.select("mark"), "apart-texts")
     found = by_slices(wanted, whole, "text", F.octet_length("text"), _compared(similarity, shingle), "a long, b long")
     out = all_of([edges, *found])
     discard(wanted, whole)

@@ -702,3 +702,38 @@ def test_an_append_leaves_no_shuffle_files(spark, tmp_path):
     while shuffled() - before and time.monotonic() < until:  # they go in the background
         time.sleep(0.1)
     assert not shuffled() - before
+
+
+def test_canonical_chain_is_what_canonical_marks(spark):
+    rng = random.Random(5)
+    blocks = spark.createDataFrame([(net, h, f"{net}{h}{b}") for net in "nm" for h in range(40) for b in "abc"] + [("n", 3, "n3a"), ("n", None, "x")], "net string, height long, block_hash string")
+    flips = [(net := rng.choice("nm"), h := rng.randrange(44), f"{net}{h}{rng.choice('abcdd')}", rng.choice([None, None, False, True]), i) for i in range(260)]
+    flips += [("n", 50, "n50a", True, 900), ("n", None, "x", True, 901), ("n", 4, None, True, 902), ("n", 5, "n5a", True, None)]
+    frame = spark.createDataFrame(flips, "net string, height long, block_hash string, finalized boolean, ord long")
+    want = sorted(map(tuple, archive.canonical(blocks, frame).where("is_canonical").select(*archive.BLOCK).collect()))
+    assert len(want) > 60 and want.count(("n", 3, "n3a")) in (0, 2)
+    for sizes in ({}, {"near_rows": 0}, {"near_rows": 0, "slice_rows": 100}, {"near_rows": 1000, "slice_rows": 100}):
+        assert sorted(map(tuple, archive.canonical_chain(blocks, frame, **sizes).collect())) == want
+    assert archive.canonical_chain(blocks, frame.limit(0)).count() == archive.canonical_chain(blocks.limit(0), frame).count() == 0
+    tied = [("n", 1, x, f, 7) for x, f in (("n1d", True), ("n1c", True), ("n1b", True), ("n1a", False))] + [("n", 1, "n1a", True, 8)]
+    assert [r.block_hash for r in archive.canonical_chain(blocks, spark.createDataFrame(tied, frame.schema)).collect()] == ["n1b"]
+
+
+def test_ancestry_of_many_forks_shuffles_no_blocks(spark, tmp_path):
+    day = F.expr("timestamp'1995-01-01' + make_interval(0, 0, 0, cast(id * 7919 % 400 as int))")
+    orders = spark.range(100_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 99).alias("o_custkey"), F.expr("substr('OFP', cast(id * id % 3 + 1 as int), 1)").alias("o_orderstatus"), day.alias("o_orderdate"))
+    orders.repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(x := found.apply(i)).stageId(): x.shuffleWriteBytes() for i in range(found.size())}
+
+    before = max(stages(), default=-1)
+    got = plans.chain_ancestry(spark, str(tmp_path)).collect()
+    assert sum(n for k, n in stages().items() if k > before) < 1_000_000  # a hash a block alone is 6.4 MB
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(plans.ORACLES["chain_ancestry"])
+    assert sorted((r.height, r.block_hash, r.steps) for r in got) == sorted(want.select("height, block_hash, steps").fetchall()) and len(got) == 141

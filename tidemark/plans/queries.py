@@ -768,7 +768,7 @@ def chain_tag_kind(spark: SparkSession, d: str) -> DataFrame:
     SELECT height, block_hash, steps FROM U""")
 def chain_ancestry(spark: SparkSession, d: str) -> DataFrame:
     """The head and 140 ancestors along parent hashes."""
-    c = chain(spark, d).where("is_canonical").select("net", "height", "block_hash")
+    c = archive.canonical_chain(fx.blocks(spark, d).select("net", "height", "block_hash"), fx.flips(spark, d))
     c = c.withColumn("parent_hash", F.lag("block_hash").over(Window.partitionBy("net").orderBy("height")))
     heads = c.groupBy("net").agg(F.max_by("block_hash", "height").alias("block_hash"))
     return archive.ancestry(c, heads, 140).select("height", "block_hash", "steps")
